@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,28 +35,8 @@ def neighbour_pairs(words: Column) -> Column:
     )
 
 
-def _sql_string(term: str) -> str:
-    return "'" + term.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _membership(vocabulary: Iterable[str]) -> str:
-    """SQL predicate over the lambda variable `t`. One expression whatever the number of
-    terms; the optimiser turns the list into a hash set."""
-    members = ", ".join(_sql_string(t) for t in vocabulary)
-    return f"t in ({members})" if members else "false"
-
-
-def keep_terms(terms: str, vocabulary: Iterable[str]) -> Column:
-    """Elements of the array column `terms` that are in a small vocabulary."""
-    return F.expr(f"filter({terms}, t -> {_membership(vocabulary)})")
-
-
-def term_hits(terms: str, vocabulary: Iterable[str]) -> Column:
-    """For each element of the array column `terms`, whether the vocabulary has it."""
-    return F.expr(f"transform({terms}, t -> {_membership(vocabulary)})")
-
-
 def drop_words_of_pairs(unigrams: Column, pair_kept: Column) -> Column:
     """Drop word i when pair (i, i+1) is kept. The last word starts no pair and is
     always dropped, as the option is defined."""
-    return F.filter(_without_ends(unigrams, 1), lambda _, i: ~F.get(pair_kept, i))
+    first_of_pair = F.arrays_zip(_without_ends(unigrams, 1).alias("word"), pair_kept.alias("hit"))
+    return F.filter(first_of_pair, lambda pair: ~pair["hit"])["word"]

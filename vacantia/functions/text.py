@@ -42,6 +42,11 @@ def _letter_map(keep_non_ascii: bool) -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=None)
+def _other_spaces() -> str:
+    return "".join(chr(p) for p in range(0x110000) if chr(p).isspace() and chr(p) != " ")
+
+
 def lowercase(text: Column) -> Column:
     return F.lower(text)
 
@@ -66,7 +71,7 @@ def squeeze_spaces(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(" " + _other_spaces()))
 
 
 def flatten_lines(text: Column) -> Column:
@@ -77,12 +82,27 @@ def flatten_lines(text: Column) -> Column:
 DEFAULT_STEPS: tuple[TextStep, ...] = (lowercase, ascii_fold, keep_alphanumeric, squeeze_spaces)
 
 
+@lru_cache(maxsize=None)
+def _standard_map() -> tuple[str, str]:
+    """Letters to their ASCII base, ASCII white space to spaces, and the rest of ASCII to
+    nothing: `translate` drops source characters that have no counterpart."""
+    letters, bases = _letter_map(False)
+    kept = [(x, y) for x, y in zip(letters, bases) if y.isalnum()]
+    spaces = [chr(p) for p in (*range(0x09, 0x0E), *range(0x1C, 0x20))]
+    source = "".join(x for x, _ in kept) + "".join(spaces)
+    target = "".join(y for _, y in kept) + " " * len(spaces)
+    other = [chr(p) for p in range(0x80) if not chr(p).isalnum() and chr(p) not in (" ", *spaces)]
+    return source + "".join(other), target
+
+
 def _default_standard(text: Column) -> Column:
-    # Same result as folding DEFAULT_STEPS with one regular expression less per row:
-    # the alphanumeric class already drops whatever is not ASCII.
-    folded = F.translate(F.lower(text), *_letter_map(False))
-    ascii_words = F.regexp_replace(folded, f"[^a-zA-Z0-9{ASCII_SPACE}]+", "")
-    return F.trim(F.regexp_replace(ascii_words, f"[{ASCII_SPACE}]+", " "))
+    # Same result as folding DEFAULT_STEPS. One pass does nearly all of the work; the
+    # regular expressions run only on rows with other scripts or repeated spaces.
+    mapped = F.translate(F.lower(text), *_standard_map())
+    ascii_only = F.octet_length(mapped) == F.char_length(mapped)
+    kept = F.when(ascii_only, mapped).otherwise(F.regexp_replace(mapped, "[^a-zA-Z0-9 ]+", ""))
+    squeezed = F.when(F.contains(kept, F.lit("  ")), F.regexp_replace(kept, " {2,}", " "))
+    return F.trim(squeezed.otherwise(kept))
 
 
 def standardize(text: Column, steps: Sequence[TextStep] | None = None) -> Column:
@@ -100,9 +120,22 @@ def contains_keyword(text: Column, keyword: str) -> Column:
     return F.contains(F.lower(text), F.lit(keyword.lower()))
 
 
+def _with_plain_spaces(text: Column) -> Column:
+    """Every white-space character as a space; runs stay runs."""
+    other = _other_spaces()
+    spaced = F.when(text.rlike(f"[{other}]"), F.translate(text, other, " " * len(other)))
+    return spaced.otherwise(text)
+
+
 def split_words(text: Column) -> Column:
     """White-space separated words; empty text has none."""
-    return F.filter(F.split(text, f"[{UNICODE_SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(_with_plain_spaces(text), " "), lambda w: w != "")
+
+
+def spaced_lower(text: Column) -> Column:
+    """Lower-case text to be split at single spaces for a vocabulary lookup. Pieces may
+    be empty, which no known word is."""
+    return _with_plain_spaces(F.lower(text))
 
 
 def standard_words(text: Column) -> Column:

@@ -16,11 +16,10 @@ def with_publication_date(lines: DataFrame) -> DataFrame:
     return lines.withColumn("pub_date", publication_date(F.col("raw")))
 
 
-def listings_per_date(lines: DataFrame) -> DataFrame:
-    """(date, count) in date order; lines without a date are left out."""
+def listings_per_date(listings: DataFrame) -> DataFrame:
+    """(date, count) in date order; listings without a date are left out."""
     return (
-        with_publication_date(lines)
-        .filter(F.col("pub_date").isNotNull())
+        listings.filter(F.col("pub_date").isNotNull())
         .groupBy(F.col("pub_date").alias("date"))
         .agg(F.count("*").alias("count"))
         .orderBy("date")
@@ -70,11 +69,7 @@ def last_processed(processed: DataFrame, start: dt.date) -> DataFrame:
 
 def run_last_date(cards: DataFrame) -> DataFrame:
     """Publication date of the last card of each run (by position)."""
-    return (
-        with_publication_date(cards)
-        .groupBy("source_file")
-        .agg(F.max_by("pub_date", "line_no").alias("last_date"))
-    )
+    return cards.groupBy("source_file").agg(F.max_by("pub_date", "line_no").alias("last_date"))
 
 
 def temporal_scope(listings: DataFrame, target: dt.date, days: int) -> DataFrame:

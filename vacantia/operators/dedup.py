@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import listing_code
@@ -13,12 +13,23 @@ def with_code(lines: DataFrame) -> DataFrame:
     return lines.withColumn("code", listing_code(F.col("raw"))).filter(F.col("code").isNotNull())
 
 
+def coded(lines: DataFrame, **derived: Column) -> DataFrame:
+    """Position and code of each line, with only the named columns derived from it.
+
+    What is needed of the text is taken from it here, before any shuffle.
+    """
+    columns = [expression.alias(name) for name, expression in derived.items()]
+    return lines.select(
+        "source_file", "line_no", listing_code(F.col("raw")).alias("code"), *columns
+    )
+
+
 def listings_per_code(listings: DataFrame) -> DataFrame:
     return listings.groupBy("code").agg(F.count("*").alias("n"))
 
 
 def duplicate_codes(listings: DataFrame) -> DataFrame:
-    return listings_per_code(listings).filter(F.col("n") > 1)
+    return listings_per_code(listings.filter(F.col("code").isNotNull())).filter(F.col("n") > 1)
 
 
 def top_duplicates(listings: DataFrame, n: int | None = None) -> DataFrame:
@@ -42,12 +53,9 @@ def first_per_code(listings: DataFrame) -> DataFrame:
 
 
 def duplicate_report(lines: DataFrame) -> DataFrame:
-    """Records, copies of repeated codes (the first one too) and their share."""
-    per_code = (
-        lines.withColumn("code", listing_code(F.col("raw")))
-        .groupBy("code")
-        .agg(F.count("*").alias("n"))
-    )
+    """Records, copies of repeated codes (the first one too) and their share. Lines
+    without a code count as records."""
+    per_code = listings_per_code(lines)
     repeated = F.when(F.col("code").isNotNull() & (F.col("n") > 1), F.col("n")).otherwise(0)
     return per_code.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
@@ -58,7 +66,7 @@ def duplicate_report(lines: DataFrame) -> DataFrame:
 
 
 def duplicate_report_before_after(lines: DataFrame) -> DataFrame:
-    after = first_per_code(with_code(lines))
+    after = first_per_code(lines.filter(F.col("code").isNotNull()))
     return duplicate_report(lines).withColumn("stage", F.lit("before")).unionByName(
         duplicate_report(after).withColumn("stage", F.lit("after"))
     )

@@ -6,57 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
-from vacantia.functions.ngrams import (
-    drop_words_of_pairs,
-    keep_terms,
-    neighbour_pairs,
-    term_hits,
-    tokens,
-)
 from vacantia.functions.wage import log_wage, wage_label
-from vacantia.operators.joins import salted_lookup
-
-INLINE_TERMS = 50_000
-
-
-def _inline_terms(vocabulary: DataFrame, limit: int) -> list[str] | None:
-    """The terms if there are at most `limit`, else None."""
-    rows = vocabulary.select("term").limit(limit + 1).collect()
-    return [r.term for r in rows] if len(rows) <= limit else None
-
-
-def _join_vocabulary(
-    words: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str
-) -> DataFrame:
-    """The matching of `phrase_features` as joins, for vocabularies of any size."""
-    spread = words.select(key, F.posexplode("_words").alias("_pos", "term"))
-    kept = salted_lookup(spread, unigrams.select("term"), "term", spread_by=key, how="left_semi")
-    word_lists = (
-        kept.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "term"))).alias("_kept"))
-        .select(key, F.col("_kept.term").alias("unigrams"))
-    )
-    pairs = word_lists.select(key, F.posexplode(neighbour_pairs(F.col("unigrams"))).alias("_pos", "term"))
-    known = bigrams.select("term", F.lit(True).alias("_hit"))
-    flagged = salted_lookup(pairs, known, "term", spread_by=key)
-    in_order = F.struct("_pos", "term", F.coalesce("_hit", F.lit(False)).alias("hit"))
-    pair_lists = (
-        flagged.groupBy(key)
-        .agg(F.array_sort(F.collect_list(in_order)).alias("_all"))
-        .select(
-            key,
-            F.filter("_all", lambda p: p["hit"])["term"].alias("bigrams"),
-            F.col("_all.hit").alias("_hits"),
-        )
-    )
-    none = F.array().cast("array<string>")
-    return (
-        words.drop("_words")
-        .join(word_lists, key, "left")
-        .join(pair_lists, key, "left")
-        .withColumn("unigrams", F.coalesce("unigrams", none))
-        .withColumn("bigrams", F.coalesce("bigrams", none))
-    )
+from vacantia.operators.matching import (
+    BROADCAST_BYTES,
+    match_by_broadcast,
+    match_by_joins,
+    small_vocabulary,
+)
 
 
 def phrase_features(
@@ -66,33 +22,24 @@ def phrase_features(
     key: str = "code",
     token_pattern: str | None = C.TOKEN_PATTERN,
     drop_low_order_ngrams: bool = False,
-    inline_limit: int = INLINE_TERMS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add `unigrams`, `bigrams` and their concatenation `ngrams`.
+    """Add `unigrams`, `bigrams` and the feature list `ngrams` of each listing.
 
     Words outside the unigram vocabulary leave the list first; pairs are neighbours in
-    what remains. A vocabulary of at most `inline_limit` terms becomes a hash set inside
-    the expression, so no row moves. A larger one is joined on the terms, with the same
-    result; `key` must then be unique.
+    what remains. Features are the unigrams, then the known pairs, order and repeats
+    kept. The vocabularies are measured and then read: stage them.
     """
-    words = listings.withColumn("_words", tokens(F.col("text"), token_pattern))
-    known_words = _inline_terms(unigrams, inline_limit)
-    known_pairs = _inline_terms(bigrams, inline_limit) if known_words is not None else None
-    if known_words is None or known_pairs is None:
-        matched = _join_vocabulary(words, unigrams, bigrams, key)
+    if token_pattern is not None:
+        # A word passes the pattern and is known just when it is a known word that passes.
+        unigrams = unigrams.filter(F.col("term").rlike(token_pattern))
+    words = small_vocabulary(unigrams, broadcast_bytes)
+    pairs = small_vocabulary(bigrams, broadcast_bytes) if words is not None else None
+    if words is not None and pairs is not None:
+        matched = match_by_broadcast(listings, words, pairs, drop_low_order_ngrams)
     else:
-        matched = (
-            words.withColumn("unigrams", keep_terms("_words", known_words))
-            .withColumn("_pairs", neighbour_pairs(F.col("unigrams")))
-            .withColumn("bigrams", keep_terms("_pairs", known_pairs))
-            .withColumn("_hits", term_hits("_pairs", known_pairs))
-        )
-    kept_words = F.col("unigrams")
-    if drop_low_order_ngrams:
-        kept_words = drop_words_of_pairs(F.col("unigrams"), F.col("_hits"))
-    return matched.withColumn("ngrams", F.concat(kept_words, F.col("bigrams"))).drop(
-        "_words", "_pairs", "_hits"
-    )
+        matched = match_by_joins(listings, unigrams, bigrams, key, drop_low_order_ngrams)
+    return matched.withColumn("ngrams", F.concat("kept", "bigrams")).drop("kept")
 
 
 def wages_and_features(

@@ -69,6 +69,8 @@ def significant_bigrams(
     threshold: float = C.LIFT_THRESHOLD,
     pattern: str = C.PHRASE_PATTERN,
 ) -> DataFrame:
-    return lifts.filter((F.col("lift") > threshold) & F.col("term").rlike(pattern)).orderBy(
-        F.desc("lift"), "term"
-    )
+    return lifts.filter((F.col("lift") > threshold) & F.col("term").rlike(pattern))
+
+
+def by_lift(bigrams: DataFrame) -> DataFrame:
+    return bigrams.orderBy(F.desc("lift"), "term")

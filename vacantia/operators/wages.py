@@ -10,31 +10,29 @@ from vacantia.functions.text import contains_keyword
 from vacantia.functions.wage import wage_category, wage_label, wage_midpoint
 
 
-def _category_counts(lines: DataFrame, segment: str | None, pattern: str) -> DataFrame:
-    """Listings per category, and how many of them are in the segment: one aggregate,
-    because every segment listing is also an overall one."""
+def wage_facts(
+    lines: DataFrame, segment: str | None = "python", pattern: str = C.WAGE_CATEGORY_PATTERN
+) -> DataFrame:
+    """Replace the raw line by its wage category and whether it is in the segment.
+
+    Do this before lines are deduplicated, and the text stays out of the shuffle.
+    """
     in_segment = contains_keyword(F.col("raw"), segment) if segment else F.lit(False)
-    return (
-        lines.select(
-            wage_category(F.col("raw"), pattern).alias("wage_category"),
-            in_segment.alias("in_segment"),
-        )
-        .groupBy("wage_category")
-        .agg(F.count("*").alias("n_overall"), F.count_if("in_segment").alias("n_segment"))
-    )
+    return lines.withColumns(
+        {"wage_category": wage_category(F.col("raw"), pattern), "in_segment": in_segment}
+    ).drop("raw")
 
 
-def wage_distribution(
-    lines: DataFrame,
-    segment: str | None = "python",
-    pattern: str = C.WAGE_CATEGORY_PATTERN,
-) -> DataFrame:
+def wage_distribution(facts: DataFrame) -> DataFrame:
     """Share of each wage category and its midpoint, overall and in the segment.
 
-    Segment columns are NULL for categories the segment lacks, and without a segment.
-    Ordered by midpoint, unspecified wages last.
+    Every segment listing is also an overall one, so one aggregate gives both sides of
+    the outer join: segment columns are NULL for categories the segment lacks, and
+    without a segment. Ordered by midpoint, unspecified wages last.
     """
-    counts = _category_counts(lines, segment, pattern)
+    counts = facts.groupBy("wage_category").agg(
+        F.count("*").alias("n_overall"), F.count_if("in_segment").alias("n_segment")
+    )
     totals = counts.agg(
         F.struct(F.sum("n_overall").alias("overall"), F.sum("n_segment").alias("segment"))
     ).scalar()
@@ -49,18 +47,12 @@ def wage_distribution(
     ).orderBy(F.asc_nulls_last("midwage_overall"), "wage_category")
 
 
-def wage_missing_share(
-    lines: DataFrame,
-    segment: str | None = "python",
-    pattern: str = C.WAGE_CATEGORY_PATTERN,
-) -> DataFrame:
+def wage_missing_share(facts: DataFrame) -> DataFrame:
     """Share of listings with and without a wage, per scope (overall, segment).
 
     A scope without listings has share 0 for both.
     """
-    missing = wage_category(F.col("raw"), pattern) == C.NOT_SPECIFIED
-    in_segment = contains_keyword(F.col("raw"), segment) if segment else F.lit(False)
-    flags = lines.select(missing.alias("missing"), in_segment.alias("in_segment"))
+    flags = facts.select((F.col("wage_category") == C.NOT_SPECIFIED).alias("missing"), "in_segment")
     counts = flags.agg(
         F.count("*").alias("overall"),
         F.count_if("missing").alias("overall_missing"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vacantia.functions.dates import next_friday
+from vacantia.functions.dates import next_friday, publication_date
+from vacantia.functions.text import contains_keyword, listing_code
+from vacantia.functions.wage import wage_category
+from vacantia.operators.dedup import first_per_code, with_code
 from vacantia.operators.effects import term_wage_contrast
 from vacantia.operators.features import labelled_samples, wages_and_features
 from vacantia.operators.numbering import number_rows
@@ -50,9 +53,18 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """The documents; spread over the cores if they come in fewer files than cores,
+        since one file may be a single unsplittable row group."""
+        documents = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(documents.inputFiles()) < cores:
+            return documents.repartition(cores, "doc_id")
+        return documents
+
     def raw_documents(self) -> DataFrame:
         """(doc_id, source_file, raw): the listings before they are numbered."""
-        return self.table("documents").select(
+        return self.documents().select(
             "doc_id",
             F.concat(F.lit("vacancies_"), "source", F.lit(".txt.gz")).alias("source_file"),
             F.expr(SPARK_RAW_LISTING).alias("raw"),
@@ -68,6 +80,24 @@ class Views:
             "source_file", "line_no", F.expr(SPARK_RAW_LISTING).alias("raw")
         )
 
+    def lines(self, **derived: Column) -> DataFrame:
+        """Numbered lines with a code and columns derived from `raw`, without the text."""
+        columns = [expression.alias(name) for name, expression in derived.items()]
+        code = listing_code(F.col("raw")).alias("code")
+        facts = self.raw_documents().select("doc_id", "source_file", code, *columns)
+        return number_rows(facts, "source_file", "doc_id", "line_no").drop("doc_id")
+
+    def curated(self, **derived: Column) -> DataFrame:
+        """One line per code with the derived columns."""
+        return first_per_code(self.lines(**derived).filter(F.col("code").isNotNull()))
+
+    def dated(self) -> DataFrame:
+        return self.curated(pub_date=publication_date(F.col("raw")))
+
+    def wage_facts(self, segment: str) -> DataFrame:
+        in_segment = contains_keyword(F.col("raw"), segment)
+        return self.curated(wage_category=wage_category(F.col("raw")), in_segment=in_segment)
+
     def listings(self) -> DataFrame:
         return listings(self.raw_listings())
 
@@ -100,13 +130,18 @@ class Views:
 
     def weekly_snapshots(self) -> DataFrame:
         """Curated listings with the Friday snapshot their publication week belongs to."""
-        return self.listings().withColumn("snapshot_date", next_friday(F.col("pub_date")))
+        day = publication_date(F.col("raw"))
+        return self.curated(snapshot_date=next_friday(day))
 
     def weekly_lines(self) -> DataFrame:
         """The same, named and numbered like lines of snapshot files."""
         name = F.concat(F.lit("vacancies_"), F.col("snapshot_date").cast("string"), F.lit(".txt.gz"))
-        weekly = self.weekly_snapshots().filter("snapshot_date is not null").select(
-            name.alias("source_file"), F.col("code").cast("bigint").alias("position"), "raw"
+        curated = first_per_code(with_code(self.raw_listings()))
+        day = next_friday(publication_date(F.col("raw")))
+        weekly = (
+            curated.withColumn("snapshot_date", day)
+            .filter(F.col("snapshot_date").isNotNull())
+            .select(name.alias("source_file"), F.col("code").cast("bigint").alias("position"), "raw")
         )
         return number_rows(weekly, "source_file", "position", "line_no").select(
             "source_file", "line_no", "raw"

@@ -18,7 +18,7 @@ from vacantia.operators.network import train_wage_network
 from vacantia.plans import etl
 from vacantia.plans.curate import standardised
 from vacantia.plans.fixtures import CARD_BLOCK, Views
-from vacantia.scratch import fresh_folder
+from vacantia.scratch import fresh_folder, stage
 from vacantia.sources import cards, folds, inference_store, phrase_documents, snapshots
 from vacantia.streaming import ingest
 
@@ -37,8 +37,17 @@ INFERENCE_DATES = (dt.datetime(2024, 1, 15), dt.datetime(2025, 12, 15))
 _QUERIES: dict[str, Query] = {}
 
 
+def _dates_as_text(table: DataFrame) -> DataFrame:
+    """Dates as ISO text, which every client prints the same."""
+    return table.select(
+        *[F.col(n).cast("string").alias(n) if t == "date" else n for n, t in table.dtypes]
+    )
+
+
 def query(function: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    _QUERIES[function.__name__] = lambda spark, folder: function(Views(spark, folder))
+    _QUERIES[function.__name__] = lambda spark, folder: _dates_as_text(
+        function(Views(spark, folder))
+    )
     return function
 
 
@@ -73,9 +82,14 @@ def write_snapshot(views: Views) -> DataFrame:
     return snapshots.scan_snapshots(views.spark, folder, partitioned=True)
 
 
+def _line_ends(views: Views) -> DataFrame:
+    """Numbered lines with only whether they end in a date."""
+    return views.lines(dated=snapshots.ends_in_date(F.col("raw")))
+
+
 @query
 def snapshot_gate(views: Views) -> DataFrame:
-    return snapshots.snapshot_gate(views.raw_listings())
+    return snapshots.snapshot_gate(_line_ends(views))
 
 
 @query
@@ -86,13 +100,14 @@ def snapshot_manifest(views: Views) -> DataFrame:
 
     # Roles stand for files of which no line can be read.
     files = names("documents", "source").unionByName(names("conversations", "role"))
-    return snapshots.snapshot_manifest(files, snapshots.snapshot_gate(views.raw_listings()))
+    return snapshots.snapshot_manifest(files, snapshots.snapshot_gate(_line_ends(views)))
 
 
 @query
 def valid_lines(views: Views) -> DataFrame:
-    lines = views.raw_listings()
-    return snapshots.valid_lines(lines, snapshots.snapshot_gate(lines))
+    return snapshots.valid_lines(
+        views.raw_listings(), snapshots.snapshot_gate(_line_ends(views))
+    )
 
 
 @query
@@ -134,7 +149,7 @@ def preview(views: Views) -> DataFrame:
 
 
 def _over_documents(step: Callable[[Column], Column]) -> Callable[[Views], DataFrame]:
-    return lambda views: views.table("documents").select("doc_id", step(F.col("text")).alias("text"))
+    return lambda views: views.documents().select("doc_id", step(F.col("text")).alias("text"))
 
 
 for _name, _step in {
@@ -228,19 +243,23 @@ def dedup_listings(views: Views) -> DataFrame:
     return kept.select("code", "source_file", "line_no", "raw")
 
 
+def _codes(views: Views) -> DataFrame:
+    return views.raw_documents().select(text_functions.listing_code(F.col("raw")).alias("code"))
+
+
 @query
 def duplicate_codes(views: Views) -> DataFrame:
-    return dedup.duplicate_codes(dedup.with_code(views.raw_documents()))
+    return dedup.duplicate_codes(_codes(views))
 
 
 @query
 def top_duplicates(views: Views) -> DataFrame:
-    return dedup.top_duplicates(dedup.with_code(views.raw_documents()), 10)
+    return dedup.top_duplicates(_codes(views), 10)
 
 
 @query
 def duplicate_report(views: Views) -> DataFrame:
-    return rounded(dedup.duplicate_report_before_after(views.raw_listings()), "duplicate_share")
+    return rounded(dedup.duplicate_report_before_after(views.lines()), "duplicate_share")
 
 
 @query
@@ -265,28 +284,30 @@ def segment_pay(views: Views) -> DataFrame:
 
 @query
 def listings_per_date(views: Views) -> DataFrame:
-    return calendar.listings_per_date(views.listings())
+    return calendar.listings_per_date(views.dated())
 
 
 @query
 def calendar_counts(views: Views) -> DataFrame:
-    return calendar.calendar_counts(calendar.listings_per_date(views.listings()), *CALENDAR)
+    return calendar.calendar_counts(calendar.listings_per_date(views.dated()), *CALENDAR)
 
 
 @query
 def run_last_date(views: Views) -> DataFrame:
-    return calendar.run_last_date(views.raw_listings())
+    return calendar.run_last_date(
+        views.lines(pub_date=date_functions.publication_date(F.col("raw")))
+    )
 
 
 @query
 def temporal_scope(views: Views) -> DataFrame:
-    scoped = calendar.temporal_scope(views.listings(), SCOPE_TARGET, SCOPE_DAYS)
+    scoped = calendar.temporal_scope(views.dated(), SCOPE_TARGET, SCOPE_DAYS)
     return scoped.select("code", "pub_date")
 
 
 @query
 def capped_listings(views: Views) -> DataFrame:
-    return calendar.newest_listings(views.listings(), 100).select("code", "pub_date")
+    return calendar.newest_listings(views.dated(), 100).select("code", "pub_date")
 
 
 @query
@@ -304,13 +325,13 @@ def last_processed(views: Views) -> DataFrame:
 
 @query
 def wage_distribution(views: Views) -> DataFrame:
-    shares = wages.wage_distribution(views.listings(), SEGMENT)
+    shares = wages.wage_distribution(views.wage_facts(SEGMENT))
     return rounded(shares, "proportion_overall", "proportion_segment")
 
 
 @query
 def wage_missing_share(views: Views) -> DataFrame:
-    return rounded(wages.wage_missing_share(views.listings(), SEGMENT), "share")
+    return rounded(wages.wage_missing_share(views.wage_facts(SEGMENT)), "share")
 
 
 # --- phrases ---
@@ -338,7 +359,7 @@ def significant_unigrams(views: Views) -> DataFrame:
 
 @query
 def significant_bigrams(views: Views) -> DataFrame:
-    return rounded(phrases.significant_bigrams(etl.lifts_of(views.texts)), "lift")
+    return rounded(phrases.by_lift(phrases.significant_bigrams(etl.lifts_of(views.texts))), "lift")
 
 
 def _exported(views: Views) -> str:
@@ -600,7 +621,7 @@ def _commit(views: Views, store: str, segment: str, effects_table: DataFrame) ->
 def _store_with_two(views: Views) -> str:
     """Two inferences and the effects of a commit that never finished."""
     store = fresh_folder(views.spark, "inferences")
-    table = effects.in_discovery_range(views.effects())
+    table = stage(effects.in_discovery_range(views.effects()), "effects")
     _commit(views, store, SEGMENT, table)
     _commit(views, store, "logistica", table.filter(F.col("marginal_effect") > 0))
     table.select(F.xxhash64("keyword").alias("id"), "*").write.parquet(

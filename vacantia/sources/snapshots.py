@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
@@ -117,19 +117,28 @@ def list_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "length")
 
 
-def snapshot_gate(
-    lines: DataFrame, n: int = C.GATE_LINES, pattern: str = C.DATED_LINE_PATTERN
-) -> DataFrame:
-    """Per file: is each of its first n lines there and does it end in a date?"""
-    dated = strip(F.col("raw")).rlike(pattern)
+def ends_in_date(raw: Column, pattern: str = C.DATED_LINE_PATTERN) -> Column:
+    return strip(raw).rlike(pattern)
+
+
+def snapshot_gate(lines: DataFrame, n: int = C.GATE_LINES) -> DataFrame:
+    """Per file: is each of its first n lines there and is it `dated`?"""
     return (
         lines.filter(F.col("line_no") <= n)
         .groupBy("source_file")
-        .agg(F.count("*").alias("lines_checked"), F.count_if(dated).alias("lines_dated"))
+        .agg(F.count("*").alias("lines_checked"), F.count_if("dated").alias("lines_dated"))
         .withColumn("valid", (F.col("lines_checked") == n) & (F.col("lines_dated") == n))
     )
 
 
+def raw_gate(
+    lines: DataFrame, n: int = C.GATE_LINES, pattern: str = C.DATED_LINE_PATTERN
+) -> DataFrame:
+    """The gate on raw lines."""
+    first = lines.filter(F.col("line_no") <= n)
+    return snapshot_gate(first.withColumn("dated", ends_in_date(F.col("raw"), pattern)), n)
+
+
 def snapshot_manifest(files: DataFrame, gate: DataFrame, n: int = C.GATE_LINES) -> DataFrame:
     """Status of every listed file, and why it was discarded."""
     reason = (

@@ -15,7 +15,7 @@ from vacantia.scratch import stage
 from vacantia.schemas import RAW_LISTINGS
 from vacantia.sources.snapshots import (
     join_parts,
-    snapshot_gate,
+    raw_gate,
     stream_snapshots,
     valid_lines,
 )
@@ -30,7 +30,7 @@ def _batch_folder(folder: str, batch_id: int) -> str:
 def _gated(part_lines: DataFrame) -> DataFrame:
     """Numbered lines of the valid snapshots of one batch."""
     lines = join_parts(stage(part_lines, "batch-lines"))
-    return valid_lines(lines, snapshot_gate(lines))
+    return valid_lines(lines, raw_gate(lines))
 
 
 def ingest_batch(lines: DataFrame, batch_id: int, folder: str) -> None:
