@@ -1,0 +1,143 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from vacantia.functions.dates import last_friday, next_friday, publication_date
+from vacantia.operators import calendar, dedup
+from vacantia.operators.numbering import number_rows
+
+
+def test_fridays_around_every_day(spark):
+    start = dt.date(2023, 12, 20)
+    days = [(start + dt.timedelta(days=i),) for i in range(40)]
+    rows = spark.createDataFrame(days, "d date").select(
+        "d", last_friday(F.col("d")).alias("last"), next_friday(F.col("d")).alias("next")
+    )
+    for day, before, after in rows.collect():
+        assert before.weekday() == after.weekday() == 4
+        assert 0 <= (day - before).days <= 6 and 0 <= (after - day).days <= 6
+
+
+@pytest.mark.parametrize(
+    "raw, day",
+    [
+        ("x Fecha de Publicación 03/12/2024 Fecha de Publicación 01/01/2020", dt.date(2024, 12, 3)),
+        ("x Fecha de Publicación 31/02/2024", None),
+        ("x Fecha de publicación 03/12/2024", None),
+        ("Fecha de Publicación 3/12/2024", None),
+    ],
+)
+def test_publication_date(spark, raw, day):
+    table = spark.createDataFrame([(raw,)], "r string")
+    assert table.select(publication_date(F.col("r"))).first()[0] == day
+
+
+def dated(spark, *days):
+    return spark.createDataFrame([(d,) for d in days], "pub_date date")
+
+
+def test_calendar_fills_gaps_and_drops_days_outside(spark):
+    d = dt.date
+    counts = calendar.listings_per_date(
+        dated(spark, d(2024, 1, 1), d(2024, 1, 3), d(2024, 1, 3), d(2024, 1, 9), None)
+    )
+    assert [tuple(r) for r in counts.collect()] == [
+        (d(2024, 1, 1), 1), (d(2024, 1, 3), 2), (d(2024, 1, 9), 1),
+    ]
+    rows = calendar.calendar_counts(counts, d(2023, 12, 31), d(2024, 1, 3), mark_weekday=2)
+    assert [tuple(r) for r in rows.orderBy("date").collect()] == [
+        (d(2023, 12, 31), 0, False), (d(2024, 1, 1), 1, False),
+        (d(2024, 1, 2), 0, False), (d(2024, 1, 3), 2, True),
+    ]
+
+
+def test_calendar_of_no_listings_and_default_range(spark):
+    counts = calendar.listings_per_date(dated(spark, None))
+    rows = calendar.calendar_counts(counts).collect()
+    assert len(rows) == 61 and {r["count"] for r in rows} == {0}
+
+
+def test_missing_weeks_and_last_processed(spark):
+    fridays = [dt.date(2024, 11, 15) + dt.timedelta(weeks=k) for k in range(9)]
+    done = spark.createDataFrame(
+        [(f,) for k, f in enumerate(fridays) if k not in (3, 6)], "snapshot_date date"
+    )
+    missing = calendar.missing_weeks(done, dt.date(2024, 11, 12), dt.date(2025, 1, 17))
+    assert sorted(r[0] for r in missing.collect()) == [
+        fridays[3], fridays[6], dt.date(2025, 1, 17),
+    ]
+    last = calendar.last_processed(done, dt.date(2024, 1, 1)).first()
+    assert tuple(last) == (fridays[8], fridays[8])
+    none = calendar.last_processed(done.filter("false"), dt.date(2024, 1, 1)).first()
+    assert tuple(none) == (dt.date(2024, 1, 1), dt.date(2024, 1, 5))
+    assert calendar.missing_weeks(done, dt.date(2025, 2, 1), dt.date(2025, 1, 1)).count() == 0
+
+
+def test_scope_and_cap(spark):
+    days = [dt.date(2024, 1, d) for d in (1, 10, 20, 25)]
+    table = spark.createDataFrame([(str(i), d) for i, d in enumerate(days)], "code string, pub_date date")
+    scoped = calendar.temporal_scope(table, dt.date(2024, 1, 20), 10)
+    assert sorted(r.code for r in scoped.collect()) == ["1", "2"]
+    assert [r.code for r in calendar.newest_listings(table, 2).collect()] == ["3", "2"]
+
+
+def test_last_date_of_a_run(spark):
+    rows = [("a", 1, dt.date(2024, 1, 9)), ("a", 2, dt.date(2024, 1, 2)), ("b", 1, None)]
+    cards = spark.createDataFrame(rows, "source_file string, line_no bigint, pub_date date")
+    found = {r.source_file: r.last_date for r in calendar.run_last_date(cards).collect()}
+    assert found == {"a": dt.date(2024, 1, 2), "b": None}
+
+
+def hot_files():
+    """A third of all lines has one code; some have none."""
+    rng = random.Random(2)
+    codes = ["7"] * 200 + [str(rng.randint(100, 250)) for _ in range(380)] + [""] * 20
+    rng.shuffle(codes)
+    lines = [f"{c} texto {i}" if c else f"texto {i}" for i, c in enumerate(codes)]
+    return {"b": lines[:300], "a": lines[300:]}
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_first_listing_per_code(make_lines, partitions):
+    files = hot_files()
+    kept = dedup.first_per_code(dedup.with_code(make_lines(files, partitions)))
+    expected = {}
+    for name in sorted(files):
+        for number, raw in enumerate(files[name], 1):
+            if raw[0].isdigit():
+                expected.setdefault(raw.split()[0], (name, number, raw))
+    found = {r.code: (r.source_file, r.line_no, r.raw) for r in kept.collect()}
+    assert found == expected
+
+
+def test_rank_filter_is_applied_before_the_shuffle(make_lines):
+    kept = dedup.first_per_code(dedup.with_code(make_lines(hot_files())))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 1, Partial" in plan
+
+
+def test_duplicate_report_and_top(make_lines):
+    lines = dedup.coded(make_lines({"a": ["1 x", "1 y", "2 x", "3 z", "3 z", "3 w", "sin"]}))
+    report = {r.stage: tuple(r)[:3] for r in dedup.duplicate_report_before_after(lines).collect()}
+    assert report == {"before": (7, 5, pytest.approx(5 / 7)), "after": (3, 0, 0.0)}
+    assert [tuple(r) for r in dedup.top_duplicates(lines, 1).collect()] == [("3", 3)]
+    for n in (None, 0, -1):
+        assert [r.code for r in dedup.top_duplicates(lines, n).collect()] == ["3", "1"]
+    empty = dedup.duplicate_report(lines.filter("false")).first()
+    assert tuple(empty) == (0, 0, 0.0)
+
+
+def test_numbering_of_a_hot_group_in_small_blocks(spark):
+    rng = random.Random(4)
+    orders = rng.sample(range(-500, 5000), 900)
+    rows = [("hot" if i % 3 else f"g{i % 7}", o) for i, o in enumerate(orders)]
+    table = spark.createDataFrame(rows, "g string, o bigint").repartition(5)
+    numbered = number_rows(table, "g", "o", "n", block_size=37).collect()
+    expected = {
+        (g, o): n
+        for g in {g for g, _ in rows}
+        for n, o in enumerate(sorted(o for h, o in rows if h == g), 1)
+    }
+    assert {(r.g, r.o): r.n for r in numbered} == expected

@@ -1,0 +1,137 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests import rules
+from vacantia.functions import wage as W
+from vacantia.operators.dedup import first_per_code, with_code
+from vacantia.operators.wages import (
+    segment_pay,
+    wage_distribution,
+    wage_facts,
+    wage_missing_share,
+)
+from vacantia.plans.curate import listings, standardised
+
+
+def one(spark, value, expression):
+    return spark.createDataFrame([(value,)], "v string").select(expression(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text, info, rest",
+    [
+        ("77 1000 2000 hola", "1000-2000", "hola"),
+        ("77 0010 0000 hola", "10-0", "hola"),
+        ("77 1000 2000abc d", "1000-2000", "abc d"),
+        ("1000 2000 hola", None, "1000 2000 hola"),
+        ("77 hola a convenir y a convenirx", "a convenir", "77 hola yx"),
+        ("77 1 2 hola a convenir", "1-2", "hola a convenir"),
+        ("hola", None, "hola"),
+        ("", None, ""),
+        ("7 99999999999999999999 1 x", "99999999999999999999-1", "x"),
+    ],
+)
+def test_split_wage_info(spark, text, info, rest):
+    table = spark.createDataFrame([(text,)], "t string")
+    found = table.select(*W.split_wage_info(F.col("t"))).first()
+    assert tuple(found) == (info, rest)
+
+
+def test_split_equals_rule_on_random_lines(spark):
+    rng = random.Random(1)
+    words = ["12", "007", "3x", "a", "convenir", "a convenir", "hola", "x9"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(800)]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = table.select("i", *W.split_wage_info(F.col("t"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in rows] == [rules.wage_and_text(t) for t in texts]
+
+
+@pytest.mark.parametrize(
+    "info, wage",
+    [
+        ("10-21", 15.5),
+        ("a convenir", None),
+        (None, None),
+        ("99999999999999999999-1", 5e19),
+        ("9223372036854775807-9223372036854775807", 9.223372036854775807e18),
+    ],
+)
+def test_wage_label(spark, info, wage):
+    assert one(spark, info, W.wage_label) == wage
+
+
+@pytest.mark.parametrize(
+    "raw, category, midwage",
+    [
+        ("1 $1.000 - $2.000 x", "$1.000 - $2.000", 1500.0),
+        ("1 $1.000-$2.000 x", "$1.000-$2.000", None),
+        ("1 A Convenir $1.0 - $3.0", "Not Specified", None),
+        ("1 a convenir", "Not Specified", None),
+        ("1 $1.0   -  $3", "$1.0   -  $3", None),
+    ],
+)
+def test_category_and_midpoint(spark, raw, category, midwage):
+    assert one(spark, raw, W.wage_category) == category
+    assert one(spark, category, W.wage_midpoint) == midwage
+
+
+def test_standardised_columns(make_lines):
+    row = standardised(make_lines({"f": ["77 $1.000 - $2.000 Programación. ¡Ya!"]})).first()
+    assert (row.wage_info, row.wage_low, row.wage_high, row.text) == (
+        "1000-2000", 1000, 2000, "programacion ya",
+    )
+
+
+def test_listing_without_code_is_dropped_but_others_keep_their_text(make_lines):
+    lines = make_lines({"f": ["x sin codigo", "5 A Convenir texto Fecha de Publicación 31/02/2024"]})
+    rows = listings(lines).collect()
+    assert [(r.code, r.pub_date, r.wage_info, r.text) for r in rows] == [
+        ("5", None, "a convenir", "5 texto fecha de publicacion 31022024")
+    ]
+
+
+LINES = [
+    "1 $1.000 - $3.000 Python",
+    "2 $1.000 - $3.000 java",
+    "3 A Convenir python",
+    "4 nada",
+    "5 $9.000-$9.500 java",
+]
+
+
+def test_distribution_is_the_outer_join_of_both_scopes(make_lines):
+    facts = wage_facts(make_lines({"f": LINES}), "PYTHON")
+    rows = [tuple(r) for r in wage_distribution(facts).collect()]
+    assert rows == [
+        ("$1.000 - $3.000", 0.4, 2000.0, 0.5, 2000.0),
+        ("$9.000-$9.500", 0.2, None, None, None),
+        ("Not Specified", 0.4, None, 0.5, None),
+    ]
+
+
+def test_distribution_without_segment(make_lines):
+    rows = wage_distribution(wage_facts(make_lines({"f": LINES}), None)).collect()
+    assert {r.proportion_segment for r in rows} == {None}
+    assert sum(r.proportion_overall for r in rows) == pytest.approx(1)
+
+
+def test_missing_share(make_lines):
+    rows = wage_missing_share(wage_facts(make_lines({"f": LINES}))).collect()
+    assert {(r.scope, r.wage_status): r.share for r in rows} == {
+        ("overall", "Wage Provided"): 0.6,
+        ("overall", "Not Specified"): 0.4,
+        ("segment", "Wage Provided"): 0.5,
+        ("segment", "Not Specified"): 0.5,
+    }
+
+
+def test_missing_share_of_nothing_is_zero(make_lines):
+    empty = make_lines({"f": LINES}).filter("false")
+    assert {r.share for r in wage_missing_share(wage_facts(empty)).collect()} == {0.0}
+
+
+def test_segment_pay(make_lines):
+    curated = standardised(first_per_code(with_code(make_lines({"f": LINES}))))
+    assert tuple(segment_pay(curated, "python").first()) == (1, 2000.0)

@@ -22,8 +22,11 @@ def standardised(
     """Add `wage_info`, its bounds and the remaining standardised `text`."""
     plain = lines.withColumn("_standard", standardize(F.col("raw"), steps))
     info, rest = split_wage_info(F.col("_standard"), wage_pattern)
+    # As a generated row, so that a later filter on these columns is not rewritten to one
+    # that evaluates the expressions behind them once more.
+    split = F.inline(F.array(F.struct(info.alias("wage_info"), rest.alias("text"))))
     return (
-        plain.withColumns({"wage_info": info, "text": rest})
+        plain.select("*", split)
         .withColumns(
             {
                 "wage_low": wage_bound(F.col("wage_info"), 1),
