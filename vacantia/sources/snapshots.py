@@ -94,14 +94,18 @@ def stream_snapshots(
     return with_part_lines(_snapshot_files(reader, folder, partitioned))
 
 
-def write_snapshots(lines: DataFrame, folder: str, mode: str = "overwrite") -> None:
+def write_snapshots(
+    lines: DataFrame, folder: str, mode: str = "overwrite", partitions: int | None = None
+) -> None:
     """Write one gzip folder per snapshot, lines in order.
 
-    Range partitions on (source_file, line_no) split a large snapshot over many parts.
+    Range partitions on (source_file, line_no) split a large snapshot over many parts;
+    their number adapts to the data unless it is given.
     """
+    count = [partitions] if partitions else []
     (
         lines.select("source_file", "line_no", flatten_lines(F.col("raw")).alias("value"))
-        .repartitionByRange("source_file", "line_no")
+        .repartitionByRange(*count, "source_file", "line_no")
         .sortWithinPartitions("source_file", "line_no")
         .select("source_file", "value")
         .write.mode(mode)
