@@ -1,0 +1,84 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from vacantia.operators import vectors
+from vacantia.sources import folds, inference_store as store
+
+START, END = dt.datetime(2024, 1, 15), dt.datetime(2025, 12, 15)
+
+
+@pytest.fixture
+def effects(spark):
+    rows = [("python", 0.5, 0.1), ("sql", -0.25, 0.2)]
+    return spark.createDataFrame(rows, "keyword string, marginal_effect double, prop_doc double")
+
+
+def commit(spark, root, effects, segment="python", **changes):
+    given = {"sample_size": 10, "vocabulary_size": 2, "effects": effects, **changes}
+    return store.commit_inference(spark, root, segment, START, END, **given)
+
+
+def keywords(spark, root, **selection):
+    found = store.effects_by_inference(
+        store.read_inferences(spark, root), store.read_effects(spark, root), **selection
+    )
+    return sorted((r.inference_id, r.keyword) for r in found.collect())
+
+
+def test_commit_select_and_delete(spark, tmp_path, effects):
+    root = str(tmp_path)
+    assert commit(spark, root, effects) == 1
+    assert commit(spark, root, effects, segment="java") == 2
+    assert len(keywords(spark, root)) == 4
+    assert keywords(spark, root, segment="java") == [(2, "python"), (2, "sql")]
+    assert keywords(spark, root, keyword="sql") == [(1, "sql"), (2, "sql")]
+    row = store.read_inferences(spark, root, "java").first()
+    assert (row.start_date, row.end_date, row.sample_size) == (START, END, 10)
+    store.delete_inference(spark, root, 2)
+    assert keywords(spark, root) == [(1, "python"), (1, "sql")]
+    assert commit(spark, root, effects) == 3
+
+
+def test_half_written_commit_is_invisible_and_then_replaced(spark, tmp_path, effects):
+    root = str(tmp_path)
+    commit(spark, root, effects)
+    left_over = effects.withColumn("keyword", F.lit("left over")).withColumn("id", F.lit(1))
+    left_over.write.parquet(f"{root}/marginal_effects/inference_id=2")
+    assert len(keywords(spark, root)) == 2
+    assert commit(spark, root, effects) == 2
+    assert keywords(spark, root)[2:] == [(2, "python"), (2, "sql")]
+
+
+@pytest.mark.parametrize("bad", [(None, 0.1, 0.1), ("x" * 101, 0.1, 0.1), ("a", None, 0.1), ("a", 0.1, None)])
+def test_bad_effects_are_not_stored(spark, tmp_path, effects, bad):
+    broken = effects.unionByName(spark.createDataFrame([bad], effects.schema))
+    with pytest.raises(ValueError):
+        commit(spark, str(tmp_path), broken)
+    assert store.read_inferences(spark, str(tmp_path)).count() == 0
+
+
+def test_inference_needs_every_field(spark, tmp_path, effects):
+    for changes in ({"segment": None}, {"sample_size": None}, {"segment": "x" * 101}):
+        with pytest.raises(ValueError):
+            commit(spark, str(tmp_path), effects, **changes)
+
+
+def test_folds_and_metadata(spark, tmp_path):
+    rows = [(str(i), float(i + 1), 0.5, ["a", "b"] if i % 2 else ["a"]) for i in range(200)]
+    samples = spark.createDataFrame(rows, "code string, wage double, log_wage double, ngrams array<string>")
+    vectorised, names = vectors.vectorize(samples, min_df=2)
+    metadata = {"feature_names": names, "full_sample_size": 300, "segment_keyword": "python"}
+    for _ in range(2):  # the second run replaces the first
+        folds.persist_folds(vectorised, str(tmp_path), metadata)
+    found = folds.read_folds(spark, str(tmp_path))
+    assert found.count() == 200 and found.select("fold").distinct().count() == 5
+    assert found.filter("label <> log_wage").count() == 0
+    wages = folds.read_folds(spark, str(tmp_path), use_log_wage=False, folds=[0, 3])
+    assert {r.fold for r in wages.collect()} == {0, 3}
+    assert wages.filter("label <> wage").count() == 0
+    row = folds.read_run_metadata(spark, str(tmp_path))
+    assert (row.feature_names, row.full_sample_size, row.segment_keyword) == (["a", "b"], 300, "python")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        folds.read_run_metadata(spark, str(tmp_path / "none"))
