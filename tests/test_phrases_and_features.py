@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import rules
-from vacantia.operators import features, matching, phrases, vectors
+from vacantia.operators import features, joins, phrases, vectors
 from vacantia.operators.joins import salted_lookup
 from vacantia.plans import etl
 from vacantia.plans.registry import queries
@@ -49,13 +49,25 @@ def test_significance_filters(spark):
     assert [r.term for r in kept.collect()] == ["a d", "a c"]
 
 
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 3])
+def test_significant_phrases_either_way(table, texts, limit):
+    found = etl.discover_phrases(table, 15, 0.075, broadcast_bytes=limit)
+    expected = {
+        k: v for k, v in rules.lifts(texts, 15).items() if v > 0.075 and k.replace(" ", "").isalpha()
+    }
+    lifts = {r.term: r.lift for r in found.bigrams.collect()}
+    assert lifts == pytest.approx(expected, rel=1e-12) and expected
+    assert found.documents == len(texts)
+
+
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("how, rows", [("left", 90), ("left_semi", 60), ("inner", 60)])
-def test_salted_lookup_is_an_ordinary_join(spark, how, rows):
+def test_salted_lookup_is_an_ordinary_join(spark, how, rows, small):
     large = spark.range(90).select(
         F.when(F.col("id") < 60, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"), "id"
     )
     lookup = spark.createDataFrame([("hot", 1), ("none", 2)], "k string, v int")
-    found = salted_lookup(large, lookup, "k", spread_by="id", how=how)
+    found = salted_lookup(large, lookup, "k", spread_by="id", how=how, small=small)
     assert found.count() == rows
 
 
@@ -67,7 +79,7 @@ def vocabulary(spark):
 
 
 @pytest.mark.parametrize("low_order", [False, True])
-@pytest.mark.parametrize("limit", [matching.BROADCAST_BYTES, 15, 5])
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 15, 5])
 def test_both_ways_of_matching_equal_the_rule(table, texts, vocabulary, low_order, limit):
     words, pairs = ({r.term for r in v.collect()} for v in vocabulary)
     found = features.phrase_features(

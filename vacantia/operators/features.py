@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.wage import log_wage, wage_label
-from vacantia.operators.matching import (
-    BROADCAST_BYTES,
-    match_by_broadcast,
-    match_by_joins,
-    small_vocabulary,
-)
+from vacantia.operators.joins import BROADCAST_BYTES, is_small
+from vacantia.operators.matching import match_by_broadcast, match_by_joins
 
 
 def phrase_features(
@@ -33,12 +29,13 @@ def phrase_features(
     if token_pattern is not None:
         # A word passes the pattern and is known just when it is a known word that passes.
         unigrams = unigrams.filter(F.col("term").rlike(token_pattern))
-    words = small_vocabulary(unigrams, broadcast_bytes)
-    pairs = small_vocabulary(bigrams, broadcast_bytes) if words is not None else None
-    if words is not None and pairs is not None:
-        matched = match_by_broadcast(listings, words, pairs, drop_low_order_ngrams)
+    small_words = is_small(unigrams, "term", broadcast_bytes)
+    if small_words and is_small(bigrams, "term", broadcast_bytes):
+        matched = match_by_broadcast(listings, unigrams, bigrams, drop_low_order_ngrams)
     else:
-        matched = match_by_joins(listings, unigrams, bigrams, key, drop_low_order_ngrams)
+        matched = match_by_joins(
+            listings, unigrams, bigrams, key, drop_low_order_ngrams, small_words
+        )
     return matched.withColumn("ngrams", F.concat("kept", "bigrams")).drop("kept")
 
 

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+BROADCAST_BYTES = 64 << 20
+MIN_SALTS = 16
+
+
+def is_small(lookup: DataFrame, text: str | Column, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the text of a lookup table, measured now, is small enough to broadcast."""
+    size = lookup.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return size <= limit
+
+
+def _salt_count(table: DataFrame) -> int:
+    """Grows with the cluster: a key with a third of all rows must not outweigh a task."""
+    return max(MIN_SALTS, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
 def salted_lookup(
@@ -14,15 +26,18 @@ def salted_lookup(
     key: str | list[str],
     spread_by: str,
     how: str = "left",
-    salts: int = SALTS,
+    small: bool = False,
 ) -> DataFrame:
-    """Equi-join on `key`, with the rows of one key spread over `salts` tasks.
+    """Join on `key`, with the rows of one key spread over many tasks.
 
     `lookup` holds each key once and is far smaller than `large`, so it is repeated per
-    salt. No side is forced to be broadcast; adaptive execution may still choose it from
-    the measured size.
+    salt. A lookup that was measured to be `small` is broadcast instead. What skew the
+    salts leave, adaptive execution splits.
     """
+    keys = [key] if isinstance(key, str) else key
+    if small:
+        return large.join(F.broadcast(lookup), keys, how)
+    salts = _salt_count(large)
     spread = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = [key] if isinstance(key, str) else key
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

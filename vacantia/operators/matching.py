@@ -17,15 +17,11 @@ from vacantia.functions.ngrams import drop_words_of_pairs, neighbour_pairs
 from vacantia.functions.text import spaced_lower
 from vacantia.operators.joins import salted_lookup
 
-BROADCAST_BYTES = 64 << 20
 
 
-def small_vocabulary(vocabulary: DataFrame, limit: int = BROADCAST_BYTES) -> pa.Array | None:
-    """The terms if together they have at most `limit` bytes, else None."""
-    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
-    if size > limit:
-        return None
-    return vocabulary.select("term").toArrow().column(0).combine_chunks()
+def _terms(vocabulary: DataFrame) -> pa.Array:
+    terms = vocabulary.select("term").toArrow().column(0).combine_chunks()
+    return terms.cast(pa.string())
 
 
 def _lists(values: pa.Array, rows: np.ndarray, size: int) -> pa.Array:
@@ -64,11 +60,14 @@ def match_texts(
 
 
 def match_by_broadcast(
-    listings: DataFrame, words: pa.Array, pairs: pa.Array, drop_low_order: bool
+    listings: DataFrame, unigrams: DataFrame, bigrams: DataFrame, drop_low_order: bool
 ) -> DataFrame:
-    """Add `unigrams`, `bigrams` and `kept` (the unigrams that stay features)."""
+    """Add `unigrams`, `bigrams` and `kept` (the unigrams that stay features).
+
+    For vocabularies that were measured to be small.
+    """
     context = listings.sparkSession.sparkContext
-    shared = context.broadcast((words.cast(pa.string()), pairs.cast(pa.string())))
+    shared = context.broadcast((_terms(unigrams), _terms(bigrams)))
 
     def match(texts: pa.Array) -> pa.Array:
         known_words, known_pairs = shared.value
@@ -86,12 +85,19 @@ def _terms_in_order(position: str, term: str) -> Column:
 
 
 def match_by_joins(
-    listings: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str, drop_low_order: bool
+    listings: DataFrame,
+    unigrams: DataFrame,
+    bigrams: DataFrame,
+    key: str,
+    drop_low_order: bool,
+    small_unigrams: bool = False,
 ) -> DataFrame:
     """The same for vocabularies of any size; `key` must be unique."""
     words = listings.select(key, F.split(spaced_lower(F.col("text")), " ").alias("_words"))
     spread = words.select(key, F.posexplode("_words").alias("_pos", "term"))
-    known = salted_lookup(spread, unigrams.select("term"), "term", spread_by=key, how="left_semi")
+    known = salted_lookup(
+        spread, unigrams.select("term"), "term", key, how="left_semi", small=small_unigrams
+    )
     word_lists = (
         known.groupBy(key)
         .agg(_terms_in_order("_pos", "term").alias("_kept"))

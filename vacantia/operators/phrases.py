@@ -20,14 +20,14 @@ def unigram_counts(listings: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(listings: DataFrame) -> DataFrame:
+    words = listings.select(standard_words(F.col("text")).alias("words"))
+    return words.select(F.inline(neighbour_structs(F.col("words"))).alias("first", "second"))
+
+
 def bigram_counts(listings: DataFrame) -> DataFrame:
     """(first, second, n) over neighbouring words inside one listing."""
-    words = listings.select(standard_words(F.col("text")).alias("words"))
-    return (
-        words.select(F.inline(neighbour_structs(F.col("words"))).alias("first", "second"))
-        .groupBy("first", "second")
-        .agg(F.count("*").alias("n"))
-    )
+    return _pairs(listings).groupBy("first", "second").agg(F.count("*").alias("n"))
 
 
 def pair_term() -> Column:
@@ -56,6 +56,29 @@ def bigram_lift(
     return counted.select(pair_term().alias("term"), "n", lift.alias("lift"))
 
 
+def frequent_pair_lift(
+    listings: DataFrame, frequent: DataFrame, documents: Column
+) -> DataFrame:
+    """(term, n, lift) of the pairs of frequent words, for a small `frequent` (term, n).
+
+    The words are looked up before the pairs are counted: pairs with a rare word, most of
+    the distinct ones, never reach the shuffle, and no join follows it.
+    """
+    first = frequent.select(F.col("term").alias("first"), F.col("n").alias("n_first"))
+    second = frequent.select(F.col("term").alias("second"), F.col("n").alias("n_second"))
+    pairs = (
+        _pairs(listings)
+        .join(F.broadcast(first), "first")
+        .join(F.broadcast(second), "second")
+    )
+    expected = F.col("n_first").cast("double") * F.col("n_second") / documents
+    return (
+        pairs.groupBy("first", "second", "n_first", "n_second")
+        .agg(F.count("*").alias("n"))
+        .select(pair_term().alias("term"), "n", (F.col("n") / expected).alias("lift"))
+    )
+
+
 def significant_unigrams(
     unigrams: DataFrame,
     min_count: int = C.MIN_UNIGRAM_COUNT,

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from vacantia import constants as C
 from vacantia.functions.text import contains_keyword
 from vacantia.operators.features import labelled_samples, valid_samples, wages_and_features
+from vacantia.operators.joins import BROADCAST_BYTES, is_small
 from vacantia.operators.network import mean_gradients, train_wage_network
 from vacantia.operators.phrases import (
     bigram_counts,
     bigram_lift,
+    frequent_pair_lift,
     significant_bigrams,
     significant_unigrams,
     unigram_counts,
@@ -51,6 +53,7 @@ def discover_phrases(
     min_count: int = C.MIN_UNIGRAM_COUNT,
     lift_threshold: float = C.LIFT_THRESHOLD,
     pattern: str = C.PHRASE_PATTERN,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> Phrases:
     """Phrases of standardised listings. `texts` is scanned several times: stage it.
 
@@ -58,7 +61,11 @@ def discover_phrases(
     the phrases, which every later step matches against.
     """
     counts = stage(unigram_counts(texts), "unigram-counts")
-    lifts = bigram_lift(counts, bigram_counts(texts), document_count(texts), min_count)
+    frequent = counts.filter(F.col("n") >= min_count)
+    if is_small(frequent, "term", broadcast_bytes):
+        lifts = frequent_pair_lift(texts, frequent, document_count(texts))
+    else:
+        lifts = bigram_lift(counts, bigram_counts(texts), document_count(texts), min_count)
     return Phrases(
         documents=texts.count(),
         unigrams=significant_unigrams(counts, min_count, pattern),

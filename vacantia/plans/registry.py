@@ -359,7 +359,7 @@ def significant_unigrams(views: Views) -> DataFrame:
 
 @query
 def significant_bigrams(views: Views) -> DataFrame:
-    return rounded(phrases.by_lift(phrases.significant_bigrams(etl.lifts_of(views.texts))), "lift")
+    return rounded(phrases.by_lift(views.phrases.bigrams), "lift")
 
 
 def _exported(views: Views) -> str:
