@@ -31,8 +31,9 @@ def table(spark, texts):
     return spark.createDataFrame(rows, "code string, wage_info string, text string").repartition(6)
 
 
-def test_lift_equals_rule(table, texts):
-    lifts = {r.term: r.lift for r in etl.lifts_of(table, 15).collect()}
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 3])
+def test_lift_equals_rule(table, texts, limit):
+    lifts = {r.term: r.lift for r in etl.lifts_of(table, 15, limit).collect()}
     expected = rules.lifts(texts, 15)
     assert lifts.keys() == expected.keys()
     assert all(lifts[k] == pytest.approx(v, rel=1e-12) for k, v in expected.items())

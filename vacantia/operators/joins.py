@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.scratch import stage
+
 BROADCAST_BYTES = 64 << 20
 MIN_SALTS = 16
 
@@ -41,3 +43,13 @@ def salted_lookup(
     spread = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def staged_lookup(
+    large: DataFrame, lookup: DataFrame, key: str | list[str], spread_by: str, how: str
+) -> DataFrame:
+    """The same for a lookup that is computed from the large side: written once, measured,
+    and broadcast if it is small, so that the large side need not move."""
+    written = stage(lookup, "lookup")
+    text = key if isinstance(key, str) else F.concat(*key)
+    return salted_lookup(large, written, key, spread_by, how, is_small(written, text))

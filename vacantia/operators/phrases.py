@@ -39,16 +39,18 @@ def bigram_lift(
     bigrams: DataFrame,
     documents: Column,
     min_unigram_count: int = C.MIN_UNIGRAM_COUNT,
+    small: bool = False,
 ) -> DataFrame:
     """(term, n, lift). Lift is -1 when either word is rarer than the minimum.
 
     Rare words are dropped before the joins; their pairs stay through the outer join.
+    `small` says that the frequent words were measured and fit a broadcast.
     """
     frequent = unigrams.filter(F.col("n") >= min_unigram_count)
     first = frequent.select(F.col("term").alias("first"), F.col("n").alias("n_first"))
     second = frequent.select(F.col("term").alias("second"), F.col("n").alias("n_second"))
-    counted = salted_lookup(bigrams, first, "first", spread_by="second")
-    counted = salted_lookup(counted, second, "second", spread_by="first")
+    counted = salted_lookup(bigrams, first, "first", spread_by="second", small=small)
+    counted = salted_lookup(counted, second, "second", spread_by="first", small=small)
     expected = F.col("n_first").cast("double") * F.col("n_second") / documents
     lift = F.when(
         F.col("n_first").isNotNull() & F.col("n_second").isNotNull(), F.col("n") / expected

@@ -44,8 +44,15 @@ def document_count(texts: DataFrame):
     return texts.agg(F.count("*")).scalar()
 
 
-def lifts_of(texts: DataFrame, min_count: int = C.MIN_UNIGRAM_COUNT) -> DataFrame:
-    return bigram_lift(unigram_counts(texts), bigram_counts(texts), document_count(texts), min_count)
+def lifts_of(
+    texts: DataFrame,
+    min_count: int = C.MIN_UNIGRAM_COUNT,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Lift of every pair, rare ones included."""
+    counts = stage(unigram_counts(texts), "unigram-counts")
+    small = is_small(counts.filter(F.col("n") >= min_count), "term", broadcast_bytes)
+    return bigram_lift(counts, bigram_counts(texts), document_count(texts), min_count, small)
 
 
 def discover_phrases(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.text import flatten_lines, strip
-from vacantia.operators.joins import salted_lookup
+from vacantia.operators.joins import staged_lookup
 
 
 def _count_on(files: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -62,7 +62,7 @@ def join_parts(lines: DataFrame) -> DataFrame:
     before = sizes.select(
         "source_file", "part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
     )
-    placed = salted_lookup(lines, before, ["source_file", "part"], spread_by="part_line", how="inner")
+    placed = staged_lookup(lines, before, ["source_file", "part"], spread_by="part_line", how="inner")
     return placed.select(
         "source_file", (F.col("_before") + F.col("part_line")).alias("line_no"), "raw"
     )
@@ -161,7 +161,7 @@ def snapshot_manifest(files: DataFrame, gate: DataFrame, n: int = C.GATE_LINES)
 def valid_lines(lines: DataFrame, gate: DataFrame) -> DataFrame:
     """Lines of the files that passed the gate."""
     valid = gate.filter("valid").select("source_file")
-    return salted_lookup(lines, valid, "source_file", spread_by="line_no", how="left_semi")
+    return staged_lookup(lines, valid, "source_file", spread_by="line_no", how="left_semi")
 
 
 def batch_size_gate(lines: DataFrame, min_rows: int = C.MIN_BATCH_ROWS) -> DataFrame:
@@ -172,4 +172,4 @@ def batch_size_gate(lines: DataFrame, min_rows: int = C.MIN_BATCH_ROWS) -> DataF
         .filter(F.col("n") >= min_rows)
         .select("source_file")
     )
-    return salted_lookup(lines, large, "source_file", spread_by="line_no", how="left_semi")
+    return staged_lookup(lines, large, "source_file", spread_by="line_no", how="left_semi")
