@@ -12,6 +12,7 @@ def number_rows(
     table: DataFrame, group: str, order: str, name: str, block_size: int = BLOCK
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, by a unique integer column.
+    Neither the group nor the order may be NULL.
 
     A group may hold a large part of all rows, so none is sorted in one task: rows are
     numbered inside blocks of the order column, and a running sum over the block sizes

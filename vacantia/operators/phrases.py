@@ -9,6 +9,7 @@ from vacantia import constants as C
 from vacantia.functions.ngrams import neighbour_structs
 from vacantia.functions.text import standard_words
 from vacantia.operators.joins import salted_lookup
+from vacantia.scratch import stage
 
 
 def unigram_counts(listings: DataFrame) -> DataFrame:
@@ -58,25 +59,33 @@ def bigram_lift(
     return counted.select(pair_term().alias("term"), "n", lift.alias("lift"))
 
 
-def frequent_pair_lift(
-    listings: DataFrame, frequent: DataFrame, documents: Column
-) -> DataFrame:
+def frequent_pair_lift(listings: DataFrame, frequent: DataFrame, documents: Column) -> DataFrame:
     """(term, n, lift) of the pairs of frequent words, for a small `frequent` (term, n).
 
     The words are looked up before the pairs are counted: pairs with a rare word, most of
-    the distinct ones, never reach the shuffle, and no join follows it.
+    the distinct ones, never reach the shuffle. Pairs are counted as pairs of numbers,
+    which are shorter than words, and get their words back afterwards.
     """
-    first = frequent.select(F.col("term").alias("first"), F.col("n").alias("n_first"))
-    second = frequent.select(F.col("term").alias("second"), F.col("n").alias("n_second"))
-    pairs = (
+    # Written, so that both lookups see the same numbers.
+    numbered = stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent-words")
+
+    def lookup(side: str) -> DataFrame:
+        return numbered.select(
+            F.col("id").alias(f"{side}_id"), F.col("term").alias(side), F.col("n").alias(f"n_{side}")
+        )
+
+    first, second = lookup("first"), lookup("second")
+    counted = (
         _pairs(listings)
-        .join(F.broadcast(first), "first")
-        .join(F.broadcast(second), "second")
+        .join(F.broadcast(first.select("first", "first_id")), "first")
+        .join(F.broadcast(second.select("second", "second_id")), "second")
+        .groupBy("first_id", "second_id")
+        .agg(F.count("*").alias("n"))
     )
     expected = F.col("n_first").cast("double") * F.col("n_second") / documents
     return (
-        pairs.groupBy("first", "second", "n_first", "n_second")
-        .agg(F.count("*").alias("n"))
+        counted.join(F.broadcast(first), "first_id")
+        .join(F.broadcast(second), "second_id")
         .select(pair_term().alias("term"), "n", (F.col("n") / expected).alias("lift"))
     )
 
