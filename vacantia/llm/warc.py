@@ -85,7 +85,7 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of one archive in order: header fields and block."""
     files, name = _file_system(path)
-    with files.open_input_stream(name) as source:
+    with files.open_input_stream(name, compression=None) as source:
         first = source.read(8)
         trained = None
         if len(first) == 8 and struct.unpack("<I", first[:4])[0] == DICTIONARY_MAGIC:
@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             for page_id, url, payload, digest, refers_to in zip(*columns):
                 if out is None:
                     name, records, written = f"{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = files.open_output_stream(f"{place}/{name}")
+                    out = files.open_output_stream(f"{place}/{name}", compression=None)
                     if dictionary is not None:
                         written += out.write(lead)
                 frame = packer.compress(record(
