@@ -134,12 +134,11 @@ def test_vocabulary_order_and_vectors(spark, partitions):
         vectors.vectorize(samples, min_df=9)
 
 
-def test_phrases_round_trip_over_several_documents(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(phrase_documents, "TERMS_PER_DOCUMENT", 10)
+def test_phrases_round_trip_over_several_documents(spark, tmp_path):
     words = spark.createDataFrame([(f"w{i}",) for i in range(30)], "term string")
     pairs = spark.createDataFrame([("w1 w2",)], "term string")
     path = str(tmp_path / "phrases")
-    phrase_documents.export_phrases(words, pairs, {"min_unigram_count": 15}, path)
+    phrase_documents.export_phrases(words, pairs, {"min_unigram_count": 15}, path, documents=4)
     documents = phrase_documents.read_phrase_documents(spark, path).collect()
     assert len(documents) == 4
     assert {d.artifact_sizes.significant_unigram_size for d in documents} == {30}
@@ -167,3 +166,33 @@ def test_import_errors(spark, tmp_path):
 def test_tokens_query_uses_the_token_rule(spark):
     row = queries()["tokens"](spark, "/root/testdata/sf0.001").first()
     assert all(t.isascii() and t.isalpha() for t in row.tokens.split(","))
+
+
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 3])
+def test_pairs_with_rare_words_count_the_same_at_every_size(spark, limit):
+    rows = [(str(i), "x y x y z") for i in range(3)] + [("9", "x q")]
+    table = spark.createDataFrame(rows, "code string, text string")
+    found = etl.discover_phrases(table, 4, -2.0, broadcast_bytes=limit)
+    assert {r.term: r.lift for r in found.bigrams.collect()} == {
+        "x y": 6 / (7 * 6 / 4), "y x": 3 / (6 * 7 / 4), "y z": -1.0, "x q": -1.0
+    }
+
+
+@pytest.mark.parametrize("limit", [joins.BROADCAST_BYTES, 1])
+def test_rows_without_or_with_one_code_are_told_apart(spark, limit):
+    words = spark.createDataFrame([("x",), ("y",)], "term string")
+    pairs = spark.createDataFrame([("x y",)], "term string")
+    rows = [(None, "x y"), ("1", "x y"), ("1", "y x y"), ("1", "x y"), ("2", None), ("3", "q")]
+    table = spark.createDataFrame(rows, "code string, text string")
+    found = features.phrase_features(table, words, pairs, broadcast_bytes=limit)
+    assert sorted((str(r.code), r.ngrams) for r in found.collect()) == sorted([
+        ("None", ["x", "y", "x y"]), ("1", ["x", "y", "x y"]), ("1", ["y", "x", "y", "x y"]),
+        ("1", ["x", "y", "x y"]), ("2", []), ("3", []),
+    ])
+
+
+def test_no_feature_is_left_out_silently(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"],)] * 3, "ngrams array<string>")
+    assert vectors.vocabulary(rows, 1).count() == 3
+    with pytest.raises(ValueError, match="3 features"):
+        vectors.vectorize(rows, 1, max_features=2)

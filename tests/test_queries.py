@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from vacantia.plans import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -14,7 +15,7 @@ TABLES = (
 ).split()
 # Models have no SQL form; their numbers are tested in test_models.py.
 WITHOUT_SQL = {"wage_regression", "wage_mlp", "marginal_effects", "discover_wage_drivers"}
-SQL = spark_entry.oracle_sql()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +36,8 @@ def plain(rows):
 
 
 def test_every_query_has_sql_but_the_models():
-    assert set(spark_entry.queries()) - set(SQL) == WITHOUT_SQL
-    assert set(SQL) <= set(spark_entry.queries())
+    assert set(registry.queries()) - set(SQL) == WITHOUT_SQL
+    assert set(SQL) <= set(registry.queries()) <= set(spark_entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

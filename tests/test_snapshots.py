@@ -27,7 +27,7 @@ def drop_folder(tmp_path):
 
 
 def test_scan_numbers_the_lines_of_each_file(spark, drop_folder):
-    rows = snapshots.scan_snapshots(spark, str(drop_folder)).collect()
+    rows = snapshots.scan_snapshots(spark, str(drop_folder), skip_damaged=True).collect()
     by_file = {}
     for r in rows:
         by_file.setdefault(r.source_file, {})[r.line_no] = r.raw
@@ -45,24 +45,62 @@ def test_line_numbers_survive_filters_and_files_sharing_a_task(spark, tmp_path):
 
 def test_damaged_file_is_an_error_unless_skipped(spark, drop_folder):
     with pytest.raises(Exception):
-        snapshots.scan_snapshots(spark, str(drop_folder), skip_corrupt=False).collect()
+        snapshots.scan_snapshots(spark, str(drop_folder)).collect()
 
 
-def test_truncated_file_keeps_its_readable_lines(spark, tmp_path):
+def test_truncated_file_yields_no_line(spark, tmp_path):
     lines = [f"{i * 7919} {hash((i, 'x'))} Fecha de Publicación 01/12/2024" for i in range(20000)]
     size = len(gzip.compress("".join(f"{x}\n" for x in lines).encode()))
     write_gzip(tmp_path, "vacancies_cut.txt.gz", lines, cut=size // 2)
-    scanned = snapshots.scan_snapshots(spark, str(tmp_path))
-    rows = sorted((r.line_no, r.raw) for r in scanned.collect())
-    assert 10 <= len(rows) < 20000
-    assert [r[1] for r in rows[:-1]] == lines[: len(rows) - 1]
-    assert snapshots.raw_gate(scanned).first().valid
+    assert snapshots.scan_snapshots(spark, str(tmp_path), skip_damaged=True).count() == 0
+    write_gzip(tmp_path, "vacancies_whole.txt.gz", lines)
+    two_members = gzip.compress(b"a\n") + gzip.compress(b"b\n" * 300_000)
+    (tmp_path / "vacancies_two.txt.gz").write_bytes(two_members)
+    with pytest.raises(Exception):
+        snapshots.scan_snapshots(spark, str(tmp_path)).collect()
+    scanned = snapshots.scan_snapshots(spark, str(tmp_path), skip_damaged=True)
+    found = {r.source_file: r["count"] for r in scanned.groupBy("source_file").count().collect()}
+    assert found == {"vacancies_whole.txt.gz": 20000, "vacancies_two.txt.gz": 300_001}
+    damaged = snapshots.damaged_snapshots(spark, str(tmp_path))
+    assert [r.source_file for r in damaged.collect()] == ["vacancies_cut.txt.gz"]
+
+
+def test_damaged_part_discards_its_whole_snapshot(spark, tmp_path):
+    for name in ("a", "b"):
+        folder = tmp_path / f"source_file=vacancies_{name}.txt.gz"
+        folder.mkdir()
+        write_gzip(folder, "part-0.txt.gz", DATED)
+        write_gzip(folder, "part-1.txt.gz", DATED, cut=60 if name == "b" else None)
+    with pytest.raises(Exception):
+        snapshots.scan_snapshots(spark, str(tmp_path), partitioned=True).collect()
+    scanned = snapshots.scan_snapshots(spark, str(tmp_path), partitioned=True, skip_damaged=True)
+    assert {(r.source_file, r.line_no) for r in scanned.collect()} == {
+        ("vacancies_a.txt.gz", i) for i in range(1, 61)
+    }
+
+
+def test_parts_of_a_snapshot_stay_in_one_batch(spark, tmp_path):
+    with pytest.raises(ValueError, match="split snapshots"):
+        snapshots.stream_snapshots(spark, str(tmp_path), partitioned=True, files_per_batch=1)
+
+
+def test_nested_cards_are_whole(spark):
+    start = '<div class="results-card-container">'
+    page = (
+        f"<body>{start}<div>Dev</div><div><div>$1</div> x</div> Fecha 1</div><p>between</p>"
+        f"{start}plain</div>{start}<divider>open</divider> to the end"
+    )
+    table = spark.createDataFrame([(1, page), (2, "none"), (3, None)], "page_id int, html string")
+    found = {(r.page_id, r.position): r.card for r in cards.page_cards(table).collect()}
+    assert found == {(1, 0): "Dev$1 x Fecha 1", (1, 1): "plain", (1, 2): "open to the end"}
 
 
 def test_manifest_says_why(spark, drop_folder):
-    lines = snapshots.scan_snapshots(spark, str(drop_folder))
+    lines = snapshots.scan_snapshots(spark, str(drop_folder), skip_damaged=True)
     manifest = snapshots.snapshot_manifest(
-        snapshots.list_snapshots(spark, str(drop_folder)), snapshots.raw_gate(lines)
+        snapshots.list_snapshots(spark, str(drop_folder)),
+        snapshots.raw_gate(lines),
+        damaged=snapshots.damaged_snapshots(spark, str(drop_folder)),
     )
     found = {r.source_file[10:-7]: (r.status, r.reason) for r in manifest.collect()}
     assert found == {
@@ -73,7 +111,7 @@ def test_manifest_says_why(spark, drop_folder):
         "nine": ("discarded", "too few lines"),
         "bad": ("discarded", "line without date"),
         "empty": ("discarded", "no readable line"),
-        "broken": ("discarded", "no readable line"),
+        "broken": ("discarded", "damaged"),
     }
 
 

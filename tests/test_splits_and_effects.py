@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.functions.hashing import uniform_key
+from vacantia.functions.hashing import uniform_key, whole_quotient
 from vacantia.operators import effects, splits, training_history
 from vacantia.operators.network import has_stalled
 
@@ -135,3 +135,10 @@ def test_early_stop_and_best_epoch_of_known_histories(spark):
     for model, stop in ((1, 49), (2, 38), (3, 33)):
         stalled = [has_stalled(histories[model][:e], 0.005, 30, 15) for e in range(1, stop + 1)]
         assert stalled == [False] * (stop - 1) + [True]
+
+
+def test_whole_quotients_are_exact_beyond_doubles(spark):
+    numbers = [2**59 + 2**48 - 1, 2**59, 2**62 + 1, 0, 5, -1, -(2**48) - 1]
+    table = spark.createDataFrame([(n,) for n in numbers], "n bigint")
+    found = table.select("n", whole_quotient(table["n"], 2**48).alias("q")).collect()
+    assert all(r.q == r.n // 2**48 for r in found)

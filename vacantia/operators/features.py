@@ -15,7 +15,6 @@ def phrase_features(
     listings: DataFrame,
     unigrams: DataFrame,
     bigrams: DataFrame,
-    key: str = "code",
     token_pattern: str | None = C.TOKEN_PATTERN,
     drop_low_order_ngrams: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -33,9 +32,7 @@ def phrase_features(
     if small_words and is_small(bigrams, "term", broadcast_bytes):
         matched = match_by_broadcast(listings, unigrams, bigrams, drop_low_order_ngrams)
     else:
-        matched = match_by_joins(
-            listings, unigrams, bigrams, key, drop_low_order_ngrams, small_words
-        )
+        matched = match_by_joins(listings, unigrams, bigrams, drop_low_order_ngrams, small_words)
     return matched.withColumn("ngrams", F.concat("kept", "bigrams")).drop("kept")
 
 

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from vacantia.scratch import stage
 
 BROADCAST_BYTES = 64 << 20
+# A row costs far more than its text once it is hashed on every executor.
+BROADCAST_ROWS = 1 << 20
 MIN_SALTS = 16
 
 
 def is_small(lookup: DataFrame, text: str | Column, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the text of a lookup table, measured now, is small enough to broadcast."""
-    size = lookup.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    return size <= limit
+    """Whether a lookup table, measured now, has little enough text and few enough rows to
+    broadcast."""
+    size, rows = lookup.agg(
+        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")
+    ).first()
+    return size <= limit and rows <= BROADCAST_ROWS
 
 
 def _salt_count(table: DataFrame) -> int:

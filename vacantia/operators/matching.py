@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.ngrams import drop_words_of_pairs, neighbour_pairs
 from vacantia.functions.text import spaced_lower
 from vacantia.operators.joins import salted_lookup
-
+from vacantia.scratch import stage
 
 
 def _terms(vocabulary: DataFrame) -> pa.Array:
@@ -88,12 +88,14 @@ def match_by_joins(
     listings: DataFrame,
     unigrams: DataFrame,
     bigrams: DataFrame,
-    key: str,
     drop_low_order: bool,
     small_unigrams: bool = False,
 ) -> DataFrame:
-    """The same for vocabularies of any size; `key` must be unique."""
-    words = listings.select(key, F.split(spaced_lower(F.col("text")), " ").alias("_words"))
+    """The same for vocabularies of any size. Rows are told apart by a number of their own,
+    given in a written table, so no column has to be unique or filled."""
+    key = "_row"
+    numbered = stage(listings.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    words = numbered.select(key, F.split(spaced_lower(F.col("text")), " ").alias("_words"))
     spread = words.select(key, F.posexplode("_words").alias("_pos", "term"))
     known = salted_lookup(
         spread, unigrams.select("term"), "term", key, how="left_semi", small=small_unigrams
@@ -123,7 +125,7 @@ def match_by_joins(
         kept = drop_words_of_pairs(F.col("unigrams"), F.col("_hits"))
     none = F.array().cast("array<string>")
     return (
-        listings.join(word_lists, key, "left")
+        numbered.join(word_lists, key, "left")
         .join(pair_lists, key, "left")
         .withColumn("unigrams", F.coalesce("unigrams", none))
         .withColumn("bigrams", F.coalesce("bigrams", none))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.functions.hashing import whole_quotient
+
 BLOCK = 1 << 16
 
 
@@ -19,7 +21,7 @@ def number_rows(
     (one row per block) shifts each block to its place. Both steps partition by
     (group, block), so the rows move once.
     """
-    blocked = table.withColumn("_block", F.floor(F.col(order) / F.lit(block_size)))
+    blocked = table.withColumn("_block", whole_quotient(F.col(order), block_size))
     inside = Window.partitionBy(group, "_block").orderBy(order)
     earlier = (
         Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,10 @@ from vacantia.functions.text import standard_words
 from vacantia.operators.joins import salted_lookup
 from vacantia.scratch import stage
 
+# --- fixed value: the lift of a pair with a rare word ---
+RARE_LIFT = -1.0
+# --- end of fixed value ---
+
 
 def unigram_counts(listings: DataFrame) -> DataFrame:
     """(term, n) over all words of standardised text."""
@@ -55,7 +59,7 @@ def bigram_lift(
     expected = F.col("n_first").cast("double") * F.col("n_second") / documents
     lift = F.when(
         F.col("n_first").isNotNull() & F.col("n_second").isNotNull(), F.col("n") / expected
-    ).otherwise(F.lit(-1.0))
+    ).otherwise(F.lit(RARE_LIFT))
     return counted.select(pair_term().alias("term"), "n", lift.alias("lift"))
 
 

@@ -14,6 +14,7 @@ from vacantia.operators.features import labelled_samples, valid_samples, wages_a
 from vacantia.operators.joins import BROADCAST_BYTES, is_small
 from vacantia.operators.network import mean_gradients, train_wage_network
 from vacantia.operators.phrases import (
+    RARE_LIFT,
     bigram_counts,
     bigram_lift,
     frequent_pair_lift,
@@ -69,10 +70,12 @@ def discover_phrases(
     """
     counts = stage(unigram_counts(texts), "unigram-counts")
     frequent = counts.filter(F.col("n") >= min_count)
-    if is_small(frequent, "term", broadcast_bytes):
+    small = is_small(frequent, "term", broadcast_bytes)
+    if small and lift_threshold >= RARE_LIFT:
+        # No pair with a rare word can pass, so leaving those out first changes nothing.
         lifts = frequent_pair_lift(texts, frequent, document_count(texts))
     else:
-        lifts = bigram_lift(counts, bigram_counts(texts), document_count(texts), min_count)
+        lifts = bigram_lift(counts, bigram_counts(texts), document_count(texts), min_count, small)
     return Phrases(
         documents=texts.count(),
         unigrams=significant_unigrams(counts, min_count, pattern),
@@ -127,7 +130,7 @@ def discover_wage_drivers(
     store: str,
     start_date: dt.datetime,
     end_date: dt.datetime,
-    model: str = "network",
+    model: str = "linear",
     test_share: float = 0.5,
     epochs: int = 150,
     threshold: float = 0.005,

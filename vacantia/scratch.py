@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
+_deleted_at_exit: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder in the shared one, which goes when the application ends."""
+    context = spark.sparkContext
+    folder = os.path.join(shared_folder(spark), f"vacantia-{context.applicationId}")
+    if folder not in _deleted_at_exit:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _deleted_at_exit.add(folder)
+    return folder
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def stage(table: DataFrame, name: str) -> DataFrame:

@@ -9,23 +9,20 @@ from pyspark.sql import functions as F
 
 from vacantia.schemas import PHRASE_DOCUMENT
 
-TERMS_PER_DOCUMENT = 50_000
-
-
 def export_phrases(
     unigrams: DataFrame,
     bigrams: DataFrame,
     parameters: dict,
     path: str,
     timestamp: dt.datetime | None = None,
+    documents: int = 1,
 ) -> None:
     """Write the phrases with their parameters and sizes.
 
-    One document while the terms fit in one; a larger vocabulary is spread over several
-    with the same parameters, so that no task holds it all.
+    One document, as readers of the format expect. For a vocabulary too large for one task
+    ask for several `documents`: each has the same parameters and a part of the terms.
     """
     n_unigrams, n_bigrams = unigrams.count(), bigrams.count()
-    documents = 1 + (n_unigrams + n_bigrams) // TERMS_PER_DOCUMENT
     terms = unigrams.select("term", F.lit(1).alias("size")).unionByName(
         bigrams.select("term", F.lit(2).alias("size"))
     )

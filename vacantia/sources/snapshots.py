@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from vacantia.functions.text import flatten_lines, strip
 from vacantia.operators.joins import staged_lookup
 
 
+UNPACK_BYTES = 1 << 20
+
+
 def _count_on(files: Iterator[pd.Series]) -> Iterator[pd.Series]:
     seen: dict[int, int] = {}
     for batch in files:
@@ -22,7 +27,7 @@ def _count_on(files: Iterator[pd.Series]) -> Iterator[pd.Series]:
             seen[file] = seen.get(file, 0) + int(n)
 
 
-def _snapshot_files(reader, folder: str, partitioned: bool) -> DataFrame:
+def _snapshot_files(reader, folder: str | list[str], partitioned: bool) -> DataFrame:
     """Lines with the snapshot they belong to and the physical file they are in."""
     if partitioned:
         files = reader.schema("value string, source_file string").text(folder)
@@ -68,17 +73,70 @@ def join_parts(lines: DataFrame) -> DataFrame:
     )
 
 
+def _is_damaged(content: bytes) -> bool:
+    """Whether gzip data can't be read to its end; in steps, so only a step is unpacked."""
+    data = memoryview(content)
+    unpack = zlib.decompressobj(zlib.MAX_WBITS | 16)
+    try:
+        while len(data):
+            if unpack.eof:  # another member follows
+                unpack = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            unpack.decompress(data[:UNPACK_BYTES], UNPACK_BYTES)
+            while unpack.unconsumed_tail:
+                unpack.decompress(unpack.unconsumed_tail, UNPACK_BYTES)
+            data = data[UNPACK_BYTES:] if not unpack.unused_data else _after(data, unpack)
+        return not unpack.eof
+    except zlib.error:
+        return True
+
+
+def _after(data: memoryview, unpack) -> memoryview:
+    """What follows the member that ended inside the last step."""
+    taken = min(len(data), UNPACK_BYTES) - len(unpack.unused_data)
+    return data[taken:]
+
+
+def damaged_snapshots(spark: SparkSession, folder: str, partitioned: bool = False) -> DataFrame:
+    """(source_file) of the snapshots with a file that can't be read to its end."""
+    reader = spark.read.format("binaryFile")
+    if partitioned:
+        files = reader.option("pathGlobFilter", "*.gz").load(folder)
+    else:
+        files = reader.option("pathGlobFilter", C.SNAPSHOT_GLOB).load(folder)
+    if not partitioned:
+        files = files.withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents = batch.column("source_file"), batch.column("content")
+            broken = [n.as_py() for n, c in zip(names, contents) if _is_damaged(c.as_buffer())]
+            yield pa.RecordBatch.from_arrays([pa.array(broken, pa.string())], ["source_file"])
+
+    return files.select("source_file", "content").mapInArrow(test, "source_file string").distinct()
+
+
 def scan_snapshots(
-    spark: SparkSession, folder: str, partitioned: bool = False, skip_corrupt: bool = True
+    spark: SparkSession, folder: str, partitioned: bool = False, skip_damaged: bool = False
 ) -> DataFrame:
     """All lines of the snapshots in a folder: (source_file, line_no, raw).
 
     Reads one file per snapshot, named like one (other names are ignored), or the layout
-    of `write_snapshots`. Of a damaged file the readable lines are kept; without
-    `skip_corrupt` it is an error.
+    of `write_snapshots`. A damaged file is an error; with `skip_damaged` its whole
+    snapshot is left out (`damaged_snapshots` names it). The reader's own option to ignore
+    such files would keep a part of them and hide read errors, so the files are tested first.
     """
-    reader = spark.read.option("ignoreCorruptFiles", skip_corrupt)
-    lines = with_part_lines(_snapshot_files(reader, folder, partitioned))
+    files = _snapshot_files(spark.read, folder, partitioned)
+    if skip_damaged:
+        broken = [row[0] for row in damaged_snapshots(spark, folder, partitioned).collect()]
+        if partitioned:
+            files = files.filter(~F.col("source_file").isin(broken))
+        else:
+            listed = list_snapshots(spark, folder).filter(~F.col("source_file").isin(broken))
+            whole = [row.path for row in listed.select("path").collect()]
+            if not whole:
+                return spark.createDataFrame([], "source_file string, line_no bigint, raw string")
+            files = _snapshot_files(spark.read, whole, partitioned)
+    lines = with_part_lines(files)
     if partitioned:
         return join_parts(lines)
     return lines.select("source_file", F.col("part_line").alias("line_no"), "raw")
@@ -87,7 +145,13 @@ def scan_snapshots(
 def stream_snapshots(
     spark: SparkSession, folder: str, partitioned: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
-    """New snapshot files as a stream, in the same two layouts, with part positions."""
+    """New snapshot files as a stream, in the same two layouts, with part positions.
+
+    A damaged file fails the stream, as it fails a scan. A limit of files per batch could
+    tear the parts of one snapshot apart, so only whole-file snapshots may have one.
+    """
+    if files_per_batch and partitioned:
+        raise ValueError("files_per_batch would split snapshots that have several parts")
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -118,7 +182,8 @@ def write_snapshots(
 def list_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the snapshot files, readable or not; no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", C.SNAPSHOT_GLOB).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "length")
+    name = F.element_at(F.split("path", "/"), -1).alias("source_file")
+    return files.select(name, "length", "path")
 
 
 def ends_in_date(raw: Column, pattern: str = C.DATED_LINE_PATTERN) -> Column:
@@ -143,14 +208,23 @@ def raw_gate(
     return snapshot_gate(first.withColumn("dated", ends_in_date(F.col("raw"), pattern)), n)
 
 
-def snapshot_manifest(files: DataFrame, gate: DataFrame, n: int = C.GATE_LINES) -> DataFrame:
-    """Status of every listed file, and why it was discarded."""
+def snapshot_manifest(
+    files: DataFrame, gate: DataFrame, n: int = C.GATE_LINES, damaged: DataFrame | None = None
+) -> DataFrame:
+    """Status of every listed file, and why it was discarded; `damaged` names the files that
+    were left out as such."""
+    if damaged is None:
+        damaged = files.select("source_file").limit(0)
+    flagged = files.select("source_file").join(
+        damaged.select("source_file", F.lit(True).alias("damaged")), "source_file", "left"
+    )
     reason = (
-        F.when(F.col("lines_checked").isNull(), F.lit("no readable line"))
+        F.when(F.col("damaged"), F.lit("damaged"))
+        .when(F.col("lines_checked").isNull(), F.lit("no readable line"))
         .when(F.col("lines_checked") < n, F.lit("too few lines"))
         .when(F.col("lines_dated") < n, F.lit("line without date"))
     )
-    joined = files.select("source_file").join(gate, "source_file", "left")
+    joined = flagged.join(gate, "source_file", "left")
     return joined.select(
         "source_file",
         F.when(F.col("valid"), F.lit("valid")).otherwise(F.lit("discarded")).alias("status"),
