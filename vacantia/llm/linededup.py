@@ -82,8 +82,11 @@ def drop_repeated_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS
     """
     documents = documents.drop("n_lines", "n_dropped")
     lines = stage(document_lines(documents), "lines")
+    # Written, so that the join has a plain shuffle on both sides and may split a line that
+    # stands in very many documents.
+    repeated = stage(repeated_lines(lines, min_documents), "repeated")
     lost = (
-        lines.join(repeated_lines(lines, min_documents), ["h1", "h2"])
+        lines.join(repeated, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keeper"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("h1", "h2")).alias("lost"))
