@@ -123,8 +123,7 @@ def measures(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame
         table = loaded(Fertility, byte_path, piece_path).table
         texts, langs = strings(batch, "text"), batch.column("lang").to_pylist()
         made: dict[str, list] = {k: [] for k in ("group", *counts, *names)}
-        split = [text.encode().split() for text in texts]
-        for own, words, ends in in_groups(split):
+        for own, words, ends in in_groups(texts, lambda text: text.encode().split()):
             at = table.of(words)
             starts = np.concatenate([[0], ends[:-1]])
             text = np.repeat(np.arange(len(own)), ends - starts)
@@ -140,8 +139,8 @@ def measures(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame
                 tokens = ids[id_ends[starts[k]] : id_ends[ends[k]]]
                 values = (
                     langs[i] if langs[i] is not None else f"script:{script(texts[i])}",
-                    len(split[i]), chars, sum(map(texts[i].count, SYMBOLS)),
-                    repeated_lines(texts[i]), repeated_words(split[i]) if repeats[k] else 0,
+                    int(ends[k] - starts[k]), chars, sum(map(texts[i].count, SYMBOLS)),
+                    repeated_lines(texts[i]), repeated_words(words[starts[k] : ends[k]]) if repeats[k] else 0,
                     len(tokens), measured / max(1, len(tokens)), measured / max(1, pieces),
                     fallback / max(1, pieces), entropy(tokens),
                 )
@@ -203,7 +202,8 @@ def judge(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     ]
     high = F.col("byte_share") > F.col("byte_share_middle") + reach("byte_share")
     outside = F.coalesce(low[0] | low[1] | low[2] | high, F.lit(False))
-    limits = bands(measured)
+    # A row per language or script: written, so that its size is known before the join.
+    limits = stage(bands(measured), "bands")
     return (
         measured.join(limits.withColumnRenamed("group", "band"), F.col("group") == F.col("band"), "left")
         .withColumn("kept", ~F.col("base_failed") & ~outside)

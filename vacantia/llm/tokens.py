@@ -13,7 +13,9 @@ import tiktoken
 from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
 
+# Words that a worker remembers: token ids alone, and with the numbers of a WordTable.
 REMEMBERED_WORDS = 800_000
+TABLE_WORDS = 300_000
 WORDS_AT_ONCE = 100_000
 
 # --- fixed values: white space other than space and line feed is one of the first eight bytes
@@ -27,9 +29,11 @@ _loaded: dict[tuple, object] = {}
 
 
 def loaded(kind: Callable, *arguments: str) -> object:
-    """One instance per worker process."""
+    """One instance per worker process. A worker serves one stage after another, so what an
+    earlier stage has loaded goes when another is asked for."""
     key = (kind.__module__, kind.__qualname__, *arguments)
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = kind(*arguments)
     return _loaded[key]
 
@@ -142,7 +146,7 @@ class WordTable:
 
     def of(self, words: list) -> np.ndarray:
         """The places of the words in `numbers` and `starts`, valid until the next call."""
-        if len(self.index) >= REMEMBERED_WORDS:
+        if len(self.index) >= TABLE_WORDS:
             self._clear()
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.new:
@@ -165,13 +169,15 @@ class WordTable:
         return np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total), ends
 
 
-def in_groups(split: list[list]) -> Iterator[tuple[range, list, np.ndarray]]:
-    """Join the word lists of several texts: the texts' places, their words, and where each
-    text ends among them."""
+def in_groups(
+    texts: list[str], split: Callable[[str], list]
+) -> Iterator[tuple[range, list, np.ndarray]]:
+    """Words of several texts together, some texts at a time: the texts' places, their words,
+    and where each text ends among them. Only so many words are held at once."""
     first, words, ends = 0, [], []
-    for i, own in enumerate(split):
-        words += own
+    for i, text in enumerate(texts):
+        words += split(text)
         ends.append(len(words))
-        if len(words) >= WORDS_AT_ONCE or i + 1 == len(split):
+        if len(words) >= WORDS_AT_ONCE or i + 1 == len(texts):
             yield range(first, i + 1), words, np.array(ends)
             first, words, ends = i + 1, [], []
