@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.scratch import stage
+
 # --- fixed values: rules as host/path prefix, and two-part suffixes ---
 RULES = {
     "org/": "allow",
@@ -87,7 +89,8 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     level, name, alpha, beta of the rate of bad pages. Rows with nulls are left out."""
     known = outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull())
     hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    # Written, since every level and every join reads them again.
+    hosts = stage(hosts, "hosts").withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -107,6 +110,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     suffixes = shrunk(suffixes, F.lit(mean))
     domains = shrunk(domains.join(above(suffixes, "suffix"), "suffix"), F.col("prior")).drop("prior")
     hosts = shrunk(hosts.join(above(domains, "domain"), "domain"), F.col("prior"))
+    hosts, domains = stage(hosts, "hosts"), stage(domains, "domains")
     parts = [
         part.select(F.lit(level).alias("level"), F.col(key).alias("name"), "alpha", "beta")
         for level, key, part in (
