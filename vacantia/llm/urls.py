@@ -149,8 +149,12 @@ def judge_urls(
             F.col("name").alias(level), F.col("bound").alias(f"{level}_bound")
         )
         hosts = hosts.join(own, level, "left")
-    hosts = hosts.select(
-        "host", F.coalesce("host_bound", "domain_bound", "suffix_bound").alias("lower_bound")
+    # Written, so that the join has a plain shuffle on both sides and may split a hot host.
+    hosts = stage(
+        hosts.select(
+            "host", F.coalesce("host_bound", "domain_bound", "suffix_bound").alias("lower_bound")
+        ),
+        "bounds",
     )
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     ruled = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("rule")]
