@@ -17,6 +17,7 @@ def fit_wage_regression(
     reg_param: float = 0.01,
     elastic_net_param: float = 0.0,
     max_iter: int = 100,
+    tolerance: float = 1e-6,
 ) -> LinearRegressionModel:
     """Elastic-net regression of `label` on the sparse `features`."""
     estimator = LinearRegression(
@@ -26,6 +27,7 @@ def fit_wage_regression(
         regParam=reg_param,
         elasticNetParam=elastic_net_param,
         maxIter=max_iter,
+        tol=tolerance,
         solver="l-bfgs",
     )
     return estimator.fit(train)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantia import constants as C
 from vacantia.functions.text import contains_keyword
 from vacantia.functions.wage import wage_category, wage_label, wage_midpoint
+from vacantia.operators.splits import bernoulli_sample
 
 
 def wage_facts(
@@ -23,6 +24,13 @@ def wage_facts(
     ).drop("raw")
 
 
+def sampled(facts: DataFrame, rate: float, key: str = "code", seed: int = C.FOLD_SEED) -> DataFrame:
+    """The facts that a wage analysis at this sampling rate looks at; all of them at 1."""
+    if not 0 < rate <= 1:
+        raise ValueError(f"rate must be above 0 and at most 1: {rate}")
+    return facts if rate == 1 else bernoulli_sample(facts, rate, key, seed)
+
+
 def wage_distribution(facts: DataFrame) -> DataFrame:
     """Share of each wage category and its midpoint, overall and in the segment.
 

@@ -119,8 +119,10 @@ def build_training_samples(
     persist_folds(vectors.select("code", "wage", "log_wage", "features"), folder, metadata)
 
 
-def split_folds(spark: SparkSession, folder: str, test_share: float, seed: int) -> DataFrame:
-    samples = read_folds(spark, folder).select("code", "features", "label")
+def split_folds(
+    spark: SparkSession, folder: str, test_share: float, seed: int, use_log_wage: bool = True
+) -> DataFrame:
+    samples = read_folds(spark, folder, use_log_wage).select("code", "features", "label")
     return train_test_split(samples, "code", test_share, seed)
 
 
@@ -136,11 +138,12 @@ def discover_wage_drivers(
     threshold: float = 0.005,
     window: int = 15,
     seed: int = C.FOLD_SEED,
+    use_log_wage: bool = True,
 ) -> int:
     """Fit on the stored folds, take the effects on the validation rows, store them."""
     metadata = read_run_metadata(spark, folder)
     names = metadata.feature_names
-    samples = split_folds(spark, folder, test_share, seed)
+    samples = split_folds(spark, folder, test_share, seed, use_log_wage)
     validation = samples.filter(~F.col("is_train"))
     if model == "linear":
         gradients = fit_wage_regression(samples.filter("is_train")).coefficients.toArray()

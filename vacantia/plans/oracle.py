@@ -201,6 +201,32 @@ def of_raw(expression: str, name: str) -> str:
 
 PUB = date_of("raw")
 IN_SEGMENT = "contains(lower(raw), 'python')"
+HALF_OF_LISTINGS = (
+    f"(select * from listings where {hash_of('code', 7)} < {int(0.5 * (1 << 60))}) half"
+)
+
+
+def wage_distribution(lines: str) -> str:
+    return f"""select coalesce(o.wage_category, s.wage_category) as wage_category,
+      round(o.n / o.total, 6) as proportion_overall, {midwage('o.wage_category')} as midwage_overall,
+      round(s.n / s.total, 6) as proportion_segment, {midwage('s.wage_category')} as midwage_segment
+      from (select {wage_category('raw')} as wage_category, count(*) as n,
+              sum(count(*)) over () as total from {lines} group by 1) o
+      full join (select {wage_category('raw')} as wage_category, count(*) as n,
+              sum(count(*)) over () as total from {lines} where {IN_SEGMENT} group by 1) s
+        on o.wage_category = s.wage_category"""
+
+
+def wage_missing_share(lines: str) -> str:
+    return f"""select scope, wage_status,
+      round(avg(case when missing = (wage_status = 'Not Specified') then 1.0 else 0.0 end), 6) as share
+      from (select 'overall' as scope, {wage_category('raw')} = 'Not Specified' as missing
+            from {lines}
+            union all select 'segment', {wage_category('raw')} = 'Not Specified'
+            from {lines} where {IN_SEGMENT}) l,
+        (values ('Wage Provided'), ('Not Specified')) v(wage_status)
+      group by scope, wage_status"""
+
 
 ENTRIES: dict[str, str] = {
     "scan_snapshots": "select * from raw_listings",
@@ -290,22 +316,10 @@ ENTRIES: dict[str, str] = {
       as next_friday
       from (select coalesce(max(snapshot_date), date '2024-11-15') as last_processed
             from processed) p""",
-    "wage_distribution": f"""select coalesce(o.wage_category, s.wage_category) as wage_category,
-      round(o.n / o.total, 6) as proportion_overall, {midwage('o.wage_category')} as midwage_overall,
-      round(s.n / s.total, 6) as proportion_segment, {midwage('s.wage_category')} as midwage_segment
-      from (select {wage_category('raw')} as wage_category, count(*) as n,
-              sum(count(*)) over () as total from listings group by 1) o
-      full join (select {wage_category('raw')} as wage_category, count(*) as n,
-              sum(count(*)) over () as total from listings where {IN_SEGMENT} group by 1) s
-        on o.wage_category = s.wage_category""",
-    "wage_missing_share": f"""select scope, wage_status,
-      round(avg(case when missing = (wage_status = 'Not Specified') then 1.0 else 0.0 end), 6) as share
-      from (select 'overall' as scope, {wage_category('raw')} = 'Not Specified' as missing
-            from listings
-            union all select 'segment', {wage_category('raw')} = 'Not Specified'
-            from listings where {IN_SEGMENT}) l,
-        (values ('Wage Provided'), ('Not Specified')) v(wage_status)
-      group by scope, wage_status""",
+    "wage_distribution": wage_distribution("listings"),
+    "wage_missing_share": wage_missing_share("listings"),
+    "wage_distribution_at_rate": wage_distribution(HALF_OF_LISTINGS),
+    "wage_missing_share_at_rate": wage_missing_share(HALF_OF_LISTINGS),
     "unigram_counts": "select * from unigrams",
     "bigram_counts": "select first || ' ' || second as term, n from bigrams",
     "bigram_lift": "select term, n, round(lift, 6) as lift from lifts",
@@ -352,6 +366,14 @@ ENTRIES: dict[str, str] = {
     "read_folds": f"""select s.code, s.wage, round(s.log_wage, 6) as label, v.features
       from segment_samples s
       join ({vectors_of('segment_samples', 'segment_vocabulary')}) v using (code)""",
+    "split_folds_raw_wage": f"""select code, wage as label,
+      row_number() over (order by {hash_of('code', 42)}, code) <= floor(count(*) over () * 0.75)
+        as is_train from segment_samples""",
+    "wage_by_phrase_count": """select code, round(log_wage, 4) as label,
+      round(regr_intercept(log_wage, n) over () + n * regr_slope(log_wage, n) over (), 4) as prediction
+      from (select code, log_wage,
+              case when ngrams = '' then 0 else len(string_split(ngrams, ',')) end as n
+            from samples) s""",
     "run_metadata": """select count(*) as vocabulary_size,
       (select count(*) from listings where contains(text, 'python')) as full_sample_size,
       'python' as segment_keyword, string_agg(term, ',' order by n_total desc, term) as names

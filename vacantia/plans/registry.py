@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ SCOPE_TARGET = dt.date(2024, 12, 31)
 SCOPE_DAYS = 21
 WEEKLY_MINIMUM = 100
 SAMPLE_SEED = 7
+SAMPLING_RATE = 0.5
 INFERENCE_DATES = (dt.datetime(2024, 1, 15), dt.datetime(2025, 12, 15))
 
 _QUERIES: dict[str, Query] = {}
@@ -334,6 +336,18 @@ def wage_missing_share(views: Views) -> DataFrame:
     return rounded(wages.wage_missing_share(views.wage_facts(SEGMENT)), "share")
 
 
+@query
+def wage_distribution_at_rate(views: Views) -> DataFrame:
+    facts = wages.sampled(views.wage_facts(SEGMENT), SAMPLING_RATE, seed=SAMPLE_SEED)
+    return rounded(wages.wage_distribution(facts), "proportion_overall", "proportion_segment")
+
+
+@query
+def wage_missing_share_at_rate(views: Views) -> DataFrame:
+    facts = wages.sampled(views.wage_facts(SEGMENT), SAMPLING_RATE, seed=SAMPLE_SEED)
+    return rounded(wages.wage_missing_share(facts), "share")
+
+
 # --- phrases ---
 
 
@@ -500,6 +514,12 @@ def read_folds(views: Views) -> DataFrame:
     return rounded(samples.select("code", "wage", "label", present), "label")
 
 
+@query
+def split_folds_raw_wage(views: Views) -> DataFrame:
+    split = etl.split_folds(views.spark, _training_folder(views), 0.25, 42, use_log_wage=False)
+    return split.select("code", "label", "is_train")
+
+
 @query
 def run_metadata(views: Views) -> DataFrame:
     folder = _training_folder(views)
@@ -574,11 +594,24 @@ def wage_regression(views: Views) -> DataFrame:
     return model.transform(split).select("code", "is_train", "label", "prediction")
 
 
+@query
+def wage_by_phrase_count(views: Views) -> DataFrame:
+    """Log wage on the number of phrases: a regression that SQL has too."""
+    phrases_of = F.array(F.size("ngrams").cast("double"))
+    samples = views.samples.select(
+        "code", F.col("log_wage").alias("label"), array_to_vector(phrases_of).alias("features")
+    )
+    model = regression.fit_wage_regression(samples, reg_param=0.0, tolerance=1e-12)
+    return rounded(
+        model.transform(samples).select("code", "label", "prediction"), "label", "prediction", digits=4
+    )
+
+
 @query
 def wage_mlp(views: Views) -> DataFrame:
     samples, names = _labelled_vectors(views)
     split = splits.train_test_split(samples, "code", test_share=0.25)
-    trained = train_wage_network(split, len(names), epochs=10)
+    trained = train_wage_network(split, len(names), epochs=150, threshold=0.005, window=15)
     return views.spark.createDataFrame(
         trained.history, "epoch int, train_rmse double, val_rmse double"
     )
@@ -594,9 +627,7 @@ def marginal_effects(views: Views) -> DataFrame:
 @query
 def discover_wage_drivers(views: Views) -> DataFrame:
     store = fresh_folder(views.spark, "inferences")
-    etl.discover_wage_drivers(
-        views.spark, _training_folder(views), store, *INFERENCE_DATES, epochs=10
-    )
+    etl.discover_wage_drivers(views.spark, _training_folder(views), store, *INFERENCE_DATES)
     return inference_store.effects_by_inference(
         inference_store.read_inferences(views.spark, store),
         inference_store.read_effects(views.spark, store),
