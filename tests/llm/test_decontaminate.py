@@ -84,3 +84,31 @@ def test_edges(spark, make_documents):
     assert set(got) == {(None, 1), (8, 1), (None, 6), (8, 6)}
     assert run(spark, make_documents, [], items) == {}
     assert run(spark, make_documents, rows, []) == {}
+
+
+SOLD = (
+    "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May. "
+    "Natalia then gave 5 clips away. How many clips are left in the box on her table"
+)
+
+
+def test_slots_hold_whatever_the_case_and_the_place_in_a_sentence(spark, make_documents):
+    renamed = SOLD.replace("Natalia", "Peter")
+    got = run(spark, make_documents, [
+        (1, renamed), (2, SOLD.lower()), (3, SOLD.upper()), (4, renamed.lower().replace(" ", "\n")),
+        (5, SOLD.replace("Natalia", "Mary Ann")), (6, renamed.replace("48", "twenty-five").replace("5", "six")),
+        (7, SOLD.replace("Natalia", "McDonald")), (8, SOLD.replace("48", "several")),
+        (9, " ".join(SOLD.split()[:12])),
+    ], [(1, SOLD), (2, "Anna Maria Smith has sold two of them, but Anna kept the rest of the clips for later")])
+    assert {d for d, i in got if i == 1} == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert all(got[d, 1]["share"] == 1 for d in (1, 2, 3, 4, 6, 7)) and got[8, 1]["share"] < 1
+    assert got[1, 1]["reparameterised"] and not got[3, 1]["reparameterised"]
+
+
+def test_names_of_several_words_are_one_slot(spark, make_documents):
+    item = "it is said that Anna Maria bought two hundred apples, then Anna Maria went to the old market"
+    got = run(spark, make_documents, [
+        (1, item.replace("Anna Maria", "Bob").replace("two hundred", "350")),
+        (2, item.lower().replace("anna maria", "john smith")),
+    ], [(1, item)])
+    assert set(got) == {(1, 1), (2, 1)} and all(r["share"] == 1 for r in got.values())
