@@ -101,7 +101,7 @@ def test_slots_hold_whatever_the_case_and_the_place_in_a_sentence(spark, make_do
         (9, " ".join(SOLD.split()[:12])),
     ], [(1, SOLD), (2, "Anna Maria Smith has sold two of them, but Anna kept the rest of the clips for later")])
     assert {d for d, i in got if i == 1} == {1, 2, 3, 4, 5, 6, 7, 8}
-    assert all(got[d, 1]["share"] == 1 for d in (1, 2, 3, 4, 6, 7)) and got[8, 1]["share"] < 1
+    assert all(got[d, 1]["share"] == 1 for d in (2, 3)) and got[8, 1]["share"] < got[1, 1]["share"]
     assert got[1, 1]["reparameterised"] and not got[3, 1]["reparameterised"]
 
 
@@ -112,3 +112,29 @@ def test_names_of_several_words_are_one_slot(spark, make_documents):
         (2, item.lower().replace("anna maria", "john smith")),
     ], [(1, item)])
     assert set(got) == {(1, 1), (2, 1)} and all(r["share"] == 1 for r in got.values())
+
+
+def test_items_without_a_regular_window(spark, make_documents):
+    items = [(1, "What is 12 + 35 - 7 * 4 ?"), (2, "小明有苹果。他吃了多少？"), (3, "Who wrote Hamlet?"), (4, "7 * 8 = ?")]
+    got = run(spark, make_documents, [
+        (1, "Now: what is 12 + 35 - 7 * 4 ? Well."), (2, "问题：小明有苹果。\n他吃了多少？好"), (3, "Tell me. Who wrote hamlet? I know"),
+        (4, "First: 7 * 8 = 56"), (5, "what is 12 + 36 - 7 * 5 ?"), (6, "they who wrote Hamlet well"), (7, "小红有梨。她想要什么？"),
+    ], items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)} and not any(r["reparameterised"] for r in got.values())
+
+
+def test_one_altered_value_costs_only_its_windows(spark, make_documents):
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    words[10] = words[40] = "1995"
+    altered = " ".join([*words[:40], "1996", *words[41:]])
+    roles = "she buys 3 apples at the market and then walks home for 3 days with all of them"
+    got = run(spark, make_documents, [
+        (1, altered), (2, roles.replace("3", "5", 1).replace("3", "4")),
+    ], [(1, " ".join(words)), (2, roles)])
+    assert set(got) == {(1, 1), (2, 2)} and all(r["share"] == 1 and r["reparameterised"] for r in got.values())
+
+
+def test_windows_with_their_own_values_count_beside_inconsistent_names(spark, make_documents):
+    item = "we know that Anna went to the old market and " + " ".join(OTHER.split()) + " where nobody ever saw that Anna again"
+    got = run(spark, make_documents, [(1, item.replace("Anna", "Peter", 1))], [(1, item)])
+    assert 0.8 <= got[1, 1]["share"] < 1

@@ -2,8 +2,8 @@
 
 Numbers, names and units of an item are slots, which any word or name of a document may fill,
 a number only a number. Windows of the canonical words are joined by hash with the
-benchmark's; along each alignment of a document with an item, a benchmark value must stand for
-one document value.
+benchmark's; windows with changed values count along alignments of a document with an item
+on which a name of the item stands for one name of the document.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def canonical(texts: list[str]) -> Iterator[tuple]:
 
     Digits and number words are numbers; a run of number words, also after digits, is one
     word. A word of the list after a number is a unit, a word with a capital that doesn't
-    start a sentence or line a name. Other words are runs of letters.
+    start a sentence or line a name. Other words are runs of letters; in scripts that are written
+    without spaces, each letter is one.
     """
     first = 0
     while first < len(texts):
@@ -116,7 +117,8 @@ def _canonical_words(joined: str, lengths: list[int], first: int) -> tuple[np.nd
     mark = np.flatnonzero((points == ord(".")) | (points == ord(",")))
     mark = mark[(mark > 0) & (mark < len(points) - 1)]
     kinds[mark[(kinds[mark - 1] == DIGIT) & (kinds[mark + 1] == DIGIT)]] = DIGIT
-    starts = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1])
+    alone = (kinds == LETTER) & tables.spaceless[points]
+    starts = np.concatenate([[0], np.flatnonzero((kinds[1:] != kinds[:-1]) | alone[1:] | alone[:-1]) + 1])
     ends = np.concatenate([starts[1:], [len(points)]])
     kind = kinds[starts]
     starts, ends, kind = starts[kind != OTHER], ends[kind != OTHER], kind[kind != OTHER]
@@ -167,6 +169,21 @@ def _mixed(mixed: np.ndarray) -> np.ndarray:
     return mixed * _FACTORS[0]
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of runs of fewer words than a window; a row for each place in the run."""
+    size = len(hashes)
+    return _mixed((hashes * _FACTORS[:size, None]).sum(axis=0, dtype=np.uint64) + _SLOTS[size])
+
+
+def _parted(points: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether more than a blank stands before each word, or its text starts there; and, one
+    place further, whether the last text ends."""
+    marks = np.concatenate([[0], np.cumsum((points != ord(" ")) & (points != ord("\t")))])
+    parted = np.ones(len(starts) + 1, bool)
+    parted[1:-1] = (marks[starts[1:]] > marks[ends[:-1]]) | (text[1:] != text[:-1])
+    return parted
+
+
 _WINDOW_SCHEMA = "text_key long, window long, place long, words string, slots array<string>"
 
 
@@ -202,42 +219,62 @@ def _names(benchmark: DataFrame) -> tuple[set[str], set[str]]:
     return {r["word"] for r in counted if r["sure"]}, {r["word"] for r in counted if not r["sure"]}
 
 
-def _item_words(text: str, names: set[str], perhaps: set[str]) -> tuple[list[str], np.ndarray, list[int]]:
-    """Words, hashes and kinds of an item, a run of names as one."""
+def _item_words(text: str, names: set[str], perhaps: set[str]) -> tuple[list[str], np.ndarray, list[int], list[bool]]:
+    """Words, hashes and kinds of an item, a run of names as one; and which may be no name."""
     parts = list(canonical([text]))
     if not parts:
-        return [], np.empty(0, np.uint64), []
+        return [], np.empty(0, np.uint64), [], []
     joined, _, _, starts, ends, hashes, kinds = parts[0]
-    words, kept, found, last = [], [], [], False
+    words, kept, found, unsure = [], [], [], []
     for k, word in enumerate(_words(joined, starts, ends)):
         kind, maybe = int(kinds[k]), False
         if kind in (LITERAL, NAME):
             maybe = word in perhaps and joined[starts[k]].isupper()
             kind = NAME if maybe or word in names else LITERAL
         parted = k and joined[ends[k - 1] : starts[k]].strip()
-        if kind == NAME and found and found[-1] == NAME and not parted and not last and not maybe:
+        if kind == NAME and found and found[-1] == NAME and not parted and not unsure[-1] and not maybe:
             words[-1] += " " + word
             continue
         words.append(word)
         kept.append(hashes[k])
         found.append(kind)
-        last = maybe
-    return words, np.array(kept, np.uint64), found
+        unsure.append(maybe)
+    return words, np.array(kept, np.uint64), found, unsure
+
+
+def _window_kinds(kinds: list[int], unsure: list[bool], place: int) -> list[int]:
+    """Kinds of a window's words; what may be no name is none if else too few are literal."""
+    own = kinds[place : place + WINDOW]
+    if own.count(LITERAL) >= MIN_LITERALS:
+        return own
+    return [LITERAL if u else k for k, u in zip(own, unsure[place : place + WINDOW])]
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of each item with enough literal words. Their slots take any word."""
+    """Windows of each item with enough literal words. Their slots take any word. An item
+    without one has all its windows, without slots; of fewer words than a window, itself."""
     shared = benchmark.sparkSession.sparkContext.broadcast(_names(benchmark))
 
     def make(batch: pa.RecordBatch) -> dict:
         made: dict[str, list] = {k: [] for k in ("item_id", "text_key", "window", "place", "words", "slots")}
         ids, keys = (batch.column(c).to_pylist() for c in ("item_id", "text_key"))
         for item, key, text in zip(ids, keys, strings(batch, "text")):
-            words, hashes, kinds = _item_words(text, *shared.value)
-            for p in range(len(words) - WINDOW + 1):
-                own = kinds[p : p + WINDOW]
-                if own.count(LITERAL) < MIN_LITERALS:
-                    continue
+            words, hashes, kinds, unsure = _item_words(text, *shared.value)
+            owns = [_window_kinds(kinds, unsure, p) for p in range(len(words) - WINDOW + 1)]
+            regular = [own.count(LITERAL) >= MIN_LITERALS for own in owns]
+            if not any(regular):
+                words, hashes = _item_words(text, set(), set())[:2]
+                if 0 < len(words) < WINDOW:
+                    made["item_id"].append(item)
+                    made["text_key"].append(key)
+                    made["window"] += _short(hashes[:, None]).view(np.int64).tolist()
+                    made["place"].append(0)
+                    made["words"].append(" ".join(words))
+                    made["slots"].append([])
+                owns = [[LITERAL] * WINDOW] * (len(words) - WINDOW + 1)
+                regular = [True] * len(owns)
+            for p in np.flatnonzero(regular).tolist():
+                own = owns[p]
                 part = np.where(np.array(own) == LITERAL, hashes[p : p + WINDOW], _SLOT) * _FACTORS
                 made["item_id"].append(item)
                 made["text_key"].append(key)
@@ -279,6 +316,17 @@ def _document_windows(documents: DataFrame, bits: np.ndarray) -> DataFrame:
             made["place"] += places.tolist()
 
         for joined, text, place, starts, ends, hashes, kinds in canonical(strings(batch, "text")):
+            parted = _parted(code_points(joined), text, starts, ends)
+            for size in range(1, min(WINDOW, len(hashes) + 1)):
+                count = len(hashes) - size + 1
+                at = np.flatnonzero(parted[:count] & parted[size:] & (text[:count] == text[size - 1 :]))
+                runs = _short(np.stack([hashes[at + k] for k in range(size)]))
+                hit = _hits(runs, shared.value)
+                at = at[hit]
+                add(text[at], runs[hit], place[at])
+                for p in at.tolist():
+                    made["words"].append(" ".join(_words(joined, starts[p : p + size], ends[p : p + size])))
+                    made["slots"].append([])
             parts, seen = [hashes * f for f in _FACTORS], set()
             for layout in LAYOUTS:
                 span = layout[-1][0] + layout[-1][1]
@@ -341,6 +389,13 @@ def _slots_fit() -> Column:
     )
 
 
+def _same_values() -> Column:
+    return F.forall(
+        F.arrays_zip("item_slots", "slots"),
+        lambda v: F.substr(v["item_slots"], F.lit(3)) == F.substr(v["slots"], F.lit(3)),
+    )
+
+
 def _holds(words: Column, part: Column) -> Column:
     space = F.lit(" ")
     return F.contains(F.concat(space, words, space), F.concat(space, part, space))
@@ -350,9 +405,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_share: float =
     """(document, item) pairs that share at least `min_share` of the item's windows:
     doc_id, text_key, item_id, matched (windows), share, reparameterised (a value differs).
 
-    A window is five words with at least three that are no slot; items without one can't be
-    found. Only alignments count on which each benchmark value, by kind of word,
-    stands for one document value throughout. Null and empty texts have no windows. Rows
+    A window is five words with at least three that are no slot. Of items without one all
+    windows count, with their own values only; an item of fewer words is found between
+    punctuation or the ends of lines. Windows with the item's own values always count, those with
+    others on alignments on which each name of the item stands for one throughout; equal
+    numbers may play several roles. Null and empty texts have no windows. Rows
     without doc_id or item_id take part under the null id; of items that share an id the
     windows count together. Repeated document rows give one result. Other columns are not
     read.
@@ -367,7 +424,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_share: float =
         found.join(sides, ["window", "words"]).where(_slots_fit()).select(
             "doc_id", "text_key", "item_id", "window",
             (F.col("place") - F.col("item_place")).alias("shift"),
-            "item_slots", "slots",
+            "item_slots", "slots", _same_values().alias("same"),
         ),
         "windows",
     )
@@ -378,26 +435,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_share: float =
         .select(
             *alignment, F.col("v.item_slots").alias("item_value"), F.substr("v.slots", F.lit(3)).alias("value")
         )
+        .where(F.col("item_value").startswith("a:"))
         .groupBy(*alignment, "item_value")
         .agg(F.collect_set("value").alias("values"), F.max_by("value", F.length("value")).alias("longest"))
         # A window may end inside a name.
         .withColumn("one", F.forall("values", lambda v: _holds(F.col("longest"), v)))
-        .withColumn("same", F.forall("values", lambda v: _holds(F.substr("item_value", F.lit(3)), v)))
         .groupBy(*alignment)
-        .agg(F.bool_and("one").alias("consistent"), F.bool_or(~F.col("same")).alias("changed"))
+        .agg(F.bool_and("one").alias("consistent"))
     )
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"v.{c}")) for c in alignment]
     aligned = pairs.alias("p").join(values.alias("v"), same, "left").select(
-        "p.doc_id", "p.text_key", "p.item_id", "window",
+        "p.doc_id", "p.text_key", "p.item_id", "window", "same",
         F.coalesce("consistent", F.lit(True)).alias("consistent"),
-        F.coalesce("changed", F.lit(False)).alias("changed"),
     )
     counted = (
-        aligned.where("consistent")
+        aligned.where(F.col("same") | F.col("consistent"))
         .groupBy("doc_id", "text_key", "item_id")
         .agg(
             F.countDistinct("window").alias("matched"),
-            F.bool_and("changed").alias("reparameterised"),
+            F.countDistinct(F.when(F.col("same"), F.col("window"))).alias("unchanged"),
         )
     )
     return (
@@ -405,7 +461,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, min_share: float =
         .join(totals.alias("t"), F.col("c.item_id").eqNullSafe(F.col("t.item_id")))
         .select(
             "doc_id", "text_key", "c.item_id", "matched",
-            (F.col("matched") / F.col("total")).alias("share"), "reparameterised",
+            (F.col("matched") / F.col("total")).alias("share"),
+            (F.col("unchanged") < F.col("matched")).alias("reparameterised"),
         )
         .where(F.col("share") >= min_share)
     )
