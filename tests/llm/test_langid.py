@@ -78,3 +78,19 @@ def test_long_texts_count_to_their_end(monkeypatch):
 def test_fold_of_the_id(spark):
     ids = spark.range(200).select(F.col("id"), langid.held_out(F.col("id")).alias("held")).collect()
     assert all(r["held"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in ids)
+
+
+def test_copies_do_not_thin_the_sample(make_documents, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANGUAGE", 20)
+    few = [(d, f"{t} {'abcdefghij'[d % 10] * 3}", lang) for d, t, lang in corpus(30)]
+    copies = [(50_000 + i, "zuk mub zuk mub zub", "xx") for i in range(20_000)]
+    plain, skewed = langid.fit(make_documents(few)), langid.fit(make_documents([*few, *copies]))
+    assert plain.languages == skewed.languages == sorted(WORDS)
+
+
+def test_more_languages_than_are_learnt(make_documents, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [r for r in corpus(12) if r[2] in ("en", "fr")]
+    rows += [(90_000 + 4 * i, "the word", f"z{i}") for i in range(5)]
+    got = langid.identify(make_documents(rows)).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} == {"en", "fr"}

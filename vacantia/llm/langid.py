@@ -164,16 +164,16 @@ def fit(documents: DataFrame) -> Hierarchy | None:
     """Learn from (text, lang) of documents that aren't held out and whose lang isn't null.
 
     The sample is bounded: per language about as many texts as the parameters say, those
-    with the smallest hash of the text, found by a threshold from the language's exact count,
-    so no text is moved to choose them. Texts without a letter teach nothing. None if no
-    document has a language.
+    with the smallest hash of the text, found by a threshold from the language's exact count of
+    different hashes, so copies don't thin a sample and no text is moved to choose it. Texts
+    without a letter teach nothing. Of more than MAX_LANGUAGES languages, those with the most
+    different texts are learnt, by name if equal. None if no document has a language.
     """
     some = documents.where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
-    counted = some.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counted) > MAX_LANGUAGES:
-        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    distinct = some.select("lang", "h").distinct().groupBy("lang").count()
+    counted = distinct.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counted:
         return None
     size = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL // len(counted)))
