@@ -94,3 +94,27 @@ def test_edges(make_documents):
     assert by_id(got)[8]["spans"] == "ip:0:7,ip:8:15" and by_id(got)[9]["spans"] == ""
     assert by_id(got)[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert pii.personal_data(make_documents([])).collect() == []
+
+
+def test_contexts_find_spaced_and_long_identifiers(make_documents):
+    rows = [(i, f"so please call +1 ({200 + i}) 555-{1000 + 37 * i} today") for i in range(40)]
+    rows += [(50 + i, f"write to box{i}@mail.example.org at once") for i in range(40)]
+    long = "a" * 50 + "7@intranet"
+    rows += [(100, "so please call 0172 5550 199 today"), (101, "so please call (0172) 5550 299 today")]
+    rows += [(102, f"write to {long} at once"), (103, "tables 12 34 56 78 here")]
+    got = by_id(pii.personal_data(make_documents(rows)).collect())
+    assert got[100]["spans"] == "phone:15:28" and got[101]["spans"] == "phone:15:30"
+    assert got[102]["spans"] == f"email:9:{9 + len(long)}" and got[103]["spans"] == ""
+
+
+def test_rounds_go_on_while_they_add(make_documents):
+    rows = [(i, f"chain zero +1 ({200 + i}) 555-{1000 + 37 * i} xzero") for i in range(160)]
+    steps, sizes = ["zero", "one", "two", "three"], [60, 20, 7]
+    for k, (one, two, size) in enumerate(zip(steps, steps[1:], sizes)):
+        for i in range(size):
+            number = f"0{k}72-5550-1{i:02}"
+            rows += [(1000 + 100 * k + i, f"chain {one} {number} x{one}"), (2000 + 100 * k + i, f"chain {two} {number} x{two}")]
+    rows.append((9000, "chain three 0349-1234-567 xthree"))
+    three = by_id(pii.personal_data(make_documents(rows), rounds=3).collect())
+    every = by_id(pii.personal_data(make_documents(rows)).collect())
+    assert not three[9000]["spans"] and every[9000]["spans"] == "phone:12:25"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 import xxhash
@@ -32,15 +33,14 @@ CARD_DIGITS = (14, 19)
 PHONE_DIGITS = (10, 15)
 # --- end of fixed values ---
 
-ROUNDS = 3
 MIN_SEEDS = 3
 MIN_PATTERN_CONFIDENCE = 0.6
 MIN_IDENTIFIER_SCORE = 0.8
 CONTEXT_CHARS = 64
-MAX_IDENTIFIER_CHARS = 40
 MIN_DIGITS = 4
 _IDENTIFIER = re.compile(r"(?:[0-9@]|(?<=[^0-9A-Za-z])\([0-9])[A-Za-z0-9@._%+()/-]*+")
-_LEAD = re.compile(r"[A-Za-z0-9@._%+()/-]*\Z")
+_IDENTIFIER_CHARS = LOCAL_CHARS | frozenset("@()/")
+_GROUPS = re.compile(r"(?<![0-9A-Za-z@])\(?[0-9]++(?:(?:\) ?| \(?|[.-]\(?)[0-9]++)+(?![0-9A-Za-z@])")
 _SEPARATORS = str.maketrans("", "", " -")
 
 
@@ -88,7 +88,7 @@ def _fits(identifier: str) -> set[str]:
     if "@" in identifier and not identifier.startswith("@") and not identifier.endswith("@"):
         kinds.add("email")
     elif digits >= MIN_DIGITS:
-        if identifier.count(".") >= 3 and digits <= 12:
+        if identifier.count(".") >= 3 and digits <= 12 and " " not in identifier:
             kinds.add("ip")
         if 12 <= digits <= 19:
             kinds.add("card")
@@ -98,21 +98,25 @@ def _fits(identifier: str) -> set[str]:
 
 
 def identifiers(text: str, spans: list[Span]) -> Iterator[tuple[int, int]]:
-    """Runs of identifier characters, with a digit or @, that meet no span."""
+    """Runs of identifier characters, with a digit or @, and of groups of digits with single
+    blanks or brackets between them, that meet no span."""
     covered, last = Covered(spans), 0
     for found in _IDENTIFIER.finditer(text):
         start, end = found.span()
         if start < last:
             continue
-        lead = _LEAD.search(text, max(last, start - MAX_IDENTIFIER_CHARS), start)
-        start = lead.start() if lead else start
+        while start > last and text[start - 1] in _IDENTIFIER_CHARS:
+            start -= 1
         last = end
         while end > start and text[end - 1] in ".(+%/-":
             end -= 1
         while start < end and text[start] in ".)%/-":
             start += 1
-        if 5 <= end - start <= MAX_IDENTIFIER_CHARS and not covered.meets(start, end):
+        if 5 <= end - start and not covered.meets(start, end):
             yield start, end
+    for found in _GROUPS.finditer(text):
+        if " " in found.group() and not covered.meets(*found.span()):
+            yield found.span()
 
 
 def contexts(text: str, start: int, end: int) -> list[int]:
@@ -162,13 +166,14 @@ def find(documents: DataFrame) -> DataFrame:
     return map_batches(rows, schema, make)
 
 
-def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(mentions: DataFrame, rounds: int | None = None) -> DataFrame:
     """(kind, identifier, patterns) of mentions -> (kind, identifier) found by context.
 
     Scores run over distinct (pattern, identifier) pairs, so a copied text counts once. A
     pattern counts for a kind with at least MIN_SEEDS different seeds around which it stood;
     its confidence is their weight over all its identifiers and one. An identifier's score is
-    one minus the product of its patterns' doubts.
+    one minus the product of its patterns' doubts. Rounds go on until one adds no identifier,
+    or as many as given: seeds only gain weight, so an identifier found stays found.
     """
     pairs = stage(
         mentions.select(
@@ -184,7 +189,8 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     everything = pairs.groupBy("pattern").agg(F.countDistinct("identifier").alias("identifiers"))
     known = pairs.select("kind", "identifier", "pattern", F.when(F.col("seed"), 1.0).alias("weight"))
     found = None
-    for _ in range(rounds):
+    before = 0
+    for _ in count() if rounds is None else range(rounds):
         patterns = (
             known.where(F.col("weight").isNotNull())
             .groupBy("pattern", "kind")
@@ -205,6 +211,10 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .where(F.col("score") >= MIN_IDENTIFIER_SCORE),
             "identifiers",
         )
+        size = found.count()
+        if size == before:
+            break
+        before = size
         known = pairs.join(found, ["kind", "identifier"], "left").select(
             "kind", "identifier", "pattern",
             F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("weight"),
@@ -214,7 +224,17 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found.groupBy("identifier").agg(best.alias("kind")).select("kind", "identifier")
 
 
-def personal_data(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _outermost(spans: list[Span]) -> list[Span]:
+    """Without spans inside another one: a run may be a part of groups of digits."""
+    kept, last = [], 0
+    for span in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if span[2] > last:
+            kept.append(span)
+            last = span[2]
+    return kept
+
+
+def personal_data(documents: DataFrame, rounds: int | None = None) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base matches, and
     spans: base matches with what the contexts add.
 
@@ -244,7 +264,7 @@ def personal_data(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for base, added_spans in zip(bases, batch.column("added").to_pylist()):
             own = [s.split(":") for s in base.split(",") if s]
             every = [(kind, int(a), int(b)) for kind, a, b in own]
-            every += [(s["kind"], s["start"], s["end"]) for s in added_spans or ()]
+            every += _outermost([(s["kind"], s["start"], s["end"]) for s in added_spans or ()])
             spans.append(written(every, KINDS))
         counts = {f"n_{kind}": batch.column(f"n_{kind}") for kind in KINDS}
         return counts | {
