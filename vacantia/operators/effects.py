@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
+from vacantia.operators.ranking import add_average_rank
+from vacantia.scratch import stage
 
 
 def _term_rows(samples: DataFrame, *columns: str) -> DataFrame:
@@ -59,28 +61,12 @@ def effects_discovery(
 def effects_rank(
     effects: DataFrame, bounds: tuple[float, float] = C.DISCOVERY_RANGE, top_n: int = 10
 ) -> DataFrame:
-    """Rank by effect, ties averaged, and the mark size and colour of the top ones.
-
-    The range filter bounds the ranked rows whatever the number of documents: a sample
-    has finitely many features, so at most (mean features per sample / lower bound) can
-    reach the lower bound. Only (effect, count) pairs go through the global window.
-    """
-    rows = effects_discovery(effects, bounds)
-    descending = Window.orderBy(F.desc("marginal_effect"))
-    before = descending.rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (
-        rows.groupBy("marginal_effect")
-        .agg(F.count("*").alias("_same"))
-        .select(
-            "marginal_effect",
-            (F.coalesce(F.sum("_same").over(before), F.lit(0)) + (F.col("_same") + 1) / 2.0).alias(
-                "rank"
-            ),
-        )
-    )
+    """Rank by effect, ties averaged, and the mark size and colour of the top ones. Effects
+    that are NULL have no rank. No task ranks them all, whatever the bounds."""
+    rows = stage(effects_discovery(effects, bounds), "effects")
     top = F.col("rank") <= top_n
     return (
-        rows.join(ranks, "marginal_effect")
+        add_average_rank(rows, "marginal_effect", "rank")
         .withColumn(
             "size",
             F.lit(float(C.BASE_MARK_SIZE)) + F.when(top, top_n - F.col("rank")).otherwise(0.0),
