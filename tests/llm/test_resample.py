@@ -1,0 +1,112 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm.conftest import EDGE_ROWS
+from vacantia.llm import resample
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_buckets(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(lower)
+    features = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    return len(words), [zlib.crc32(f.encode()) % 10_000 for f in features]
+
+
+def plain_resample(rows, targets):
+    corpus, target = Counter(), Counter()
+    for _, text in rows:
+        corpus.update(plain_buckets(text)[1])
+    for text in targets:
+        target.update(plain_buckets(text)[1])
+    s_all, t_all = corpus.total() + 10_000, target.total() + 10_000
+
+    def gain(bucket):
+        return math.floor(
+            1000 * math.log((target[bucket] + 1) * s_all / ((corpus[bucket] + 1) * t_all))
+        )
+
+    scored = []
+    for doc_id, text in rows:
+        n_words, buckets = plain_buckets(text)
+        weight = sum(map(gain, buckets)) // len(buckets) if buckets else 0
+        named = f"7:{'' if doc_id is None else doc_id}"
+        h = int(hashlib.sha256(named.encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        scored.append([doc_id, n_words, len(buckets), weight, score, None])
+    able = [row for row in scored if row[1] >= 20]
+    able.sort(key=lambda row: (-row[4], row[0] is None, row[0] or 0))
+    for place, row in enumerate(able[: 25 * len(able) // 100], 1):
+        row[5] = place
+    return scored
+
+
+def by_row(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, x or 0) for x in r))
+
+
+@given(st.lists(st.binary(min_size=0, max_size=20), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_matrices_give_the_crcs_of_the_library(features):
+    assert resample.crcs_by_length(features).tolist() == [zlib.crc32(f) for f in features]
+
+
+@pytest.mark.parametrize("words, octets", [(100_000, 1 << 20), (7, 40), (1, 1)])
+def test_texts_cut_anywhere_give_the_same_features(monkeypatch, words, octets):
+    monkeypatch.setattr(resample, "WORDS_AT_ONCE", words)
+    monkeypatch.setattr(resample, "SLICE_BYTES", octets)
+    texts = ["A b c d e f g h", None, "", "--", "x" * 500, "É9 z_Z \x7f ß漢字 " * 30, "one", "one two"]
+    found = [Counter() for _ in texts]
+    counted = np.zeros(len(texts), int)
+    for owner, bucket, count in resample.feature_buckets([t and t.encode() for t in texts]):
+        for i, b in zip(owner.tolist(), bucket.tolist()):
+            found[i][b] += 1
+        counted += np.bincount(owner[:count], minlength=len(texts))
+    plain = [plain_buckets(t) for t in texts]
+    assert found == [Counter(b) for _, b in plain]
+    assert counted.tolist() == [n for n, _ in plain]
+
+
+def test_equals_brute_force(spark, make_documents):
+    texts = [" ".join(f"w{(i * j) % 17}" for j in range(i % 45)) for i in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + EDGE_ROWS + [(9, texts[44]), (9, texts[44])]
+    targets = ["w1 w2 w3 W1 w2", None, "word word"]
+    target = spark.createDataFrame([(i, t) for i, t in enumerate(targets)], "item_id long, text string")
+    found = resample.resample(make_documents(rows), target)
+    assert by_row(found.collect()) == by_row(plain_resample(rows, targets))
+
+
+def test_whole_table_equals_brute_force(spark):
+    from vacantia.llm.common import table
+    from vacantia.llm.queries import op11_crc_resampling
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in table(spark, folder, "documents").collect()]
+    targets = [r.text for r in table(spark, folder, "benchmark").collect()]
+    found = op11_crc_resampling(spark, folder).select("doc_id", "n_features", "weight", "score", "rank")
+    plain = [(r[0], *r[2:]) for r in plain_resample(rows, targets)]
+    assert by_row(found.collect()) == by_row(plain)
+
+
+def test_empty_tables(spark, make_documents):
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert resample.resample(make_documents([]), nothing).count() == 0
+    found = resample.resample(make_documents([(1, "a " * 20)] * 4), nothing)
+    assert sorted(r["rank"] or 0 for r in found.collect()) == [0, 0, 0, 1]
+
+
+def test_draw_prefers_the_target(spark, make_documents):
+    rows = [(i, " ".join(f"{'near' if i % 2 else 'far'}{(i + j) % 9}" for j in range(40))) for i in range(200)]
+    target = spark.createDataFrame([(1, " ".join(f"near{j}" for j in range(9)) * 30)], "item_id long, text string")
+    drawn = [r.doc_id for r in resample.resample(make_documents(rows), target).collect() if r["rank"]]
+    assert len(drawn) == 50
+    assert sum(d % 2 for d in drawn) >= 45

@@ -16,10 +16,13 @@ from vacantia.llm import (
     linededup,
     packing,
     pii,
+    prefixtable,
+    resample,
     secrets,
     simhash,
     urls,
     warc,
+    whitening,
 )
 from vacantia.llm.common import table
 
@@ -104,6 +107,27 @@ def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_crc_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return drawn.drop("n_words")
+
+
+def op12_prefix_table(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = prefixtable.encode(table(spark, folder, "documents"), piece_vocabulary())
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -118,5 +142,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_language_hierarchy,
             op9_line_dedup,
             op10_url_reputation,
+            op11_crc_resampling,
+            op12_prefix_table,
+            op13_jacobi_davidson,
         )
     }
