@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions.dates import last_friday, next_friday, publication_date
+from vacantia.functions.text import listing_code
 from vacantia.operators import calendar, dedup
 from vacantia.operators.numbering import number_rows
 
@@ -119,7 +120,8 @@ def test_rank_filter_is_applied_before_the_shuffle(make_lines):
 
 
 def test_duplicate_report_and_top(make_lines):
-    lines = dedup.coded(make_lines({"a": ["1 x", "1 y", "2 x", "3 z", "3 z", "3 w", "sin"]}))
+    raw = make_lines({"a": ["1 x", "1 y", "2 x", "3 z", "3 z", "3 w", "sin"]})
+    lines = raw.select("source_file", "line_no", listing_code(raw["raw"]).alias("code"))
     report = {r.stage: tuple(r)[:3] for r in dedup.duplicate_report_before_after(lines).collect()}
     assert report == {"before": (7, 5, pytest.approx(5 / 7)), "after": (3, 0, 0.0)}
     assert [tuple(r) for r in dedup.top_duplicates(lines, 1).collect()] == [("3", 3)]

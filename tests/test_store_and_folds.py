@@ -1,10 +1,12 @@
 import datetime as dt
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import vectors
-from vacantia.sources import folds, inference_store as store
+from vacantia.sources import commit_log, folds, inference_store as store
 
 START, END = dt.datetime(2024, 1, 15), dt.datetime(2025, 12, 15)
 
@@ -51,6 +53,71 @@ def test_half_written_commit_is_invisible_and_then_replaced(spark, tmp_path, eff
     assert keywords(spark, root)[2:] == [(2, "python"), (2, "sql")]
 
 
+def test_writers_at_the_same_time_get_ids_of_their_own(spark, tmp_path, effects):
+    root = str(tmp_path)
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: commit(spark, root, effects, segment=f"s{i}"), range(8)))
+    assert sorted(ids) == list(range(1, 9))
+    assert len(keywords(spark, root)) == 16
+    segments = {r.id: r.segment_keyword for r in store.read_inferences(spark, root).collect()}
+    assert segments == {id_: f"s{i}" for i, id_ in enumerate(ids)}
+
+
+def test_a_commit_that_dies_before_its_entry_is_invisible(spark, tmp_path, effects, monkeypatch):
+    root = str(tmp_path)
+    commit(spark, root, effects)
+    append = store.commit_log.append
+    calls = []
+
+    def dying(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return append(*args)
+
+    monkeypatch.setattr(store.commit_log, "append", dying)
+    with pytest.raises(RuntimeError):
+        commit(spark, root, effects, segment="lost")
+    monkeypatch.undo()
+    assert (tmp_path / "marginal_effects" / "inference_id=2").exists()
+    assert keywords(spark, root) == [(1, "python"), (1, "sql")]
+    assert commit(spark, root, effects, segment="next") == 3
+    assert {i for i, _ in keywords(spark, root)} == {1, 3}
+
+
+def test_deleting_twice_is_a_conflict(spark, tmp_path, effects):
+    root = str(tmp_path)
+    commit(spark, root, effects)
+    before = max(commit_log.versions(spark, f"{root}/log"))
+    store.delete_inference(spark, root, 1)
+    with pytest.raises(commit_log.Conflict):
+        store.delete_inference(spark, root, 1)
+    with pytest.raises(commit_log.Conflict):
+        store.delete_inference(spark, root, 9)
+    assert store.read_inferences(spark, root).count() == 0
+    assert store.read_inferences(spark, root, version=before).count() == 1
+    assert store.read_effects(spark, root, version=before).count() == 2
+
+
+def test_one_of_many_writers_puts_an_entry(spark, tmp_path):
+    path = str(tmp_path / "00001.json")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: commit_log.put_if_absent(spark, path, str(i)), range(16)))
+    assert sum(won) == 1
+    assert (tmp_path / "00001.json").read_text() == str(won.index(True))
+    assert not [name for name in os.listdir(tmp_path) if name.startswith(".0")]
+
+
+def test_a_rename_elsewhere_does_not_overwrite(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set(
+        "fs.viewfs.mounttable.here.link./in", f"file://{tmp_path}"
+    )
+    path = "viewfs://here/in/00001.json"
+    assert commit_log.put_if_absent(spark, path, "first")
+    assert not commit_log.put_if_absent(spark, path, "second")
+    assert (tmp_path / "00001.json").read_text() == "first"
+
+
 @pytest.mark.parametrize("bad", [(None, 0.1, 0.1), ("x" * 101, 0.1, 0.1), ("a", None, 0.1), ("a", 0.1, None)])
 def test_bad_effects_are_not_stored(spark, tmp_path, effects, bad):
     broken = effects.unionByName(spark.createDataFrame([bad], effects.schema))

@@ -75,3 +75,50 @@ def test_dedup_over_batches_equals_the_batch_result(spark, paths, order):
     columns = ("code", "source_file", "line_no", "raw", "pub_date")
     assert rows(curated, *columns) == rows(expected, *columns)
     assert listings_per_date(curated).collect() == listings_per_date(expected).collect()
+
+
+def test_a_restart_adds_nothing(spark, paths):
+    for name in FILES:
+        write(paths[0], name)
+    run(spark, ingest.stream_dedup, paths)
+    stored = rows(spark.read.parquet(paths[1]), "code", "source_file", "line_no", "batch_id")
+    run(spark, ingest.stream_dedup, paths)
+    assert rows(spark.read.parquet(paths[1]), "code", "source_file", "line_no", "batch_id") == stored
+    part_lines = snapshots.with_part_lines(
+        snapshots._snapshot_files(spark.read, str(paths[0]), partitioned=False)
+    )
+    ingest.dedup_batch(part_lines, 0, paths[1])
+    assert rows(spark.read.parquet(paths[1]), "code", "source_file", "line_no", "batch_id") == stored
+
+
+def test_a_batch_reads_only_the_blocks_of_its_codes(spark, paths):
+    for name in ORDERS[0][:2]:
+        write(paths[0], name)
+        run(spark, ingest.stream_dedup, paths, files_per_batch=1, block_digits=1)
+    new = spark.createDataFrame([("101",), ("123",), ("1234",), ("7",)], "code string")
+    blocks = new.select(ingest.code_block(new["code"], 1).alias("block"))
+    seen = ingest.stored_positions(spark, paths[1], 5, ingest._blocks_of(blocks))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "PartitionFilters" in scan and "block" in scan.split("PartitionFilters")[1]
+    assert "raw" not in scan.split("ReadSchema")[1]
+    files = {row[0] for row in seen.select("_metadata.file_path").distinct().collect()}
+    assert {path.split("block=")[1].split("/")[0] for path in files} == {"3-10", "3-12"}
+    assert {row.code[:2] for row in seen.collect()} == {"10", "12"}
+
+
+def test_many_blocks_are_given_as_a_range(spark, paths, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_BLOCKS", 2)
+    for name in ORDERS[1]:
+        write(paths[0], name)
+        run(spark, ingest.stream_dedup, paths, files_per_batch=1, block_digits=1)
+    expected = first_per_code(with_code(valid_batch_lines(spark, paths[0])))
+    columns = ("code", "source_file", "line_no", "raw")
+    assert rows(ingest.curated(spark, paths[1]), *columns) == rows(expected, *columns)
+
+
+def test_codes_of_any_length_have_a_block(spark):
+    codes = ["1", "999999", "1000000", "0001234567", "9" * 40]
+    table = spark.createDataFrame([(c,) for c in codes], "code string")
+    found = [r[0] for r in table.select(ingest.code_block(table["code"])).collect()]
+    assert found == ["1-", "6-", "7-1", "10-0001", f"40-{'9' * 34}"]

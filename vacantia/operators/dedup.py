@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import listing_code
+from vacantia.operators.joins import is_small
+from vacantia.scratch import stage, stage_counting
 
 
 def with_code(lines: DataFrame) -> DataFrame:
@@ -13,15 +15,10 @@ def with_code(lines: DataFrame) -> DataFrame:
     return lines.withColumn("code", listing_code(F.col("raw"))).filter(F.col("code").isNotNull())
 
 
-def coded(lines: DataFrame, **derived: Column) -> DataFrame:
-    """Position and code of each line, with only the named columns derived from it.
-
-    What is needed of the text is taken from it here, before any shuffle.
-    """
-    columns = [expression.alias(name) for name, expression in derived.items()]
-    return lines.select(
-        "source_file", "line_no", listing_code(F.col("raw")).alias("code"), *columns
-    )
+def positions(lines: DataFrame) -> DataFrame:
+    """Where the lines that start with a code are, without their text."""
+    code = listing_code(F.col("raw")).alias("code")
+    return lines.select("source_file", "line_no", code).filter(F.col("code").isNotNull())
 
 
 def listings_per_code(listings: DataFrame) -> DataFrame:
@@ -52,21 +49,79 @@ def first_per_code(listings: DataFrame) -> DataFrame:
     )
 
 
+def fetch(lines: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines that the pointers name, with the pointers' other columns.
+
+    `keys` tell lines apart, so no key is hot. Few pointers are broadcast, and the lines stay
+    where they are; otherwise they move once.
+    """
+    written = stage(pointers, "pointers")
+    small = is_small(written, F.concat_ws("", *[F.col(name).cast("string") for name in written.columns]))
+    return lines.join(F.broadcast(written) if small else written, keys)
+
+
+def dedup_lines(lines: DataFrame) -> DataFrame:
+    """One line per code, the first by (source_file, line_no). It is chosen by position; the
+    text is fetched afterwards. `lines` is read twice, so give a written table."""
+    return fetch(lines, first_per_code(positions(lines)), ["source_file", "line_no"])
+
+
+def _copies() -> Column:
+    """Records of a repeated code, the first one too."""
+    return F.when(F.col("code").isNotNull() & (F.col("n") > 1), F.col("n")).otherwise(0)
+
+
+def _share() -> Column:
+    share = F.try_divide("duplicates", "records")
+    return F.coalesce(share, F.lit(0.0)).alias("duplicate_share")
+
+
 def duplicate_report(lines: DataFrame) -> DataFrame:
     """Records, copies of repeated codes (the first one too) and their share. Lines
     without a code count as records."""
-    per_code = listings_per_code(lines)
-    repeated = F.when(F.col("code").isNotNull() & (F.col("n") > 1), F.col("n")).otherwise(0)
-    return per_code.agg(
+    found = listings_per_code(lines).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
-        F.coalesce(F.sum(repeated), F.lit(0)).alias("duplicates"),
-    ).withColumn(
-        "duplicate_share", F.coalesce(F.try_divide("duplicates", "records"), F.lit(0.0))
+        F.coalesce(F.sum(_copies()), F.lit(0)).alias("duplicates"),
     )
+    return found.select("*", _share())
 
 
 def duplicate_report_before_after(lines: DataFrame) -> DataFrame:
-    after = first_per_code(lines.filter(F.col("code").isNotNull()))
-    return duplicate_report(lines).withColumn("stage", F.lit("before")).unionByName(
-        duplicate_report(after).withColumn("stage", F.lit("after"))
+    """Both reports from one count per code: afterwards each code has one record."""
+    found = listings_per_code(lines).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
+        F.coalesce(F.sum(_copies()), F.lit(0)).alias("duplicates"),
+        F.count("code").alias("codes"),
+    )
+    stages = F.array(
+        F.struct(F.lit("before").alias("stage"), "records", "duplicates"),
+        F.struct(
+            F.lit("after").alias("stage"),
+            F.col("codes").alias("records"),
+            F.lit(0).cast("bigint").alias("duplicates"),
+        ),
+    )
+    return found.select(F.inline(stages)).select("records", "duplicates", _share(), "stage")
+
+
+def dedup_with_report(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`dedup_lines` and the report before and after it. The report is counted while the
+    positions of the first lines are written; nothing is scanned for it."""
+    code = listing_code(F.col("raw")).alias("code")
+    counted = (
+        lines.select("source_file", "line_no", code)
+        .groupBy("code")
+        .agg(F.min(F.struct("source_file", "line_no")).alias("first"), F.count("*").alias("n"))
+    )
+    written, counts = stage_counting(
+        counted, "first-lines", records=F.sum("n"), duplicates=F.sum(_copies()), codes=F.count("code")
+    )
+    kept = fetch(
+        lines, written.filter("code is not null").select("code", "first.*"), ["source_file", "line_no"]
     )
+    rows = [
+        (counts["records"] or 0, counts["duplicates"] or 0, "before"),
+        (counts["codes"], 0, "after"),
+    ]
+    report = lines.sparkSession.createDataFrame(rows, "records bigint, duplicates bigint, stage string")
+    return kept, report.select("records", "duplicates", _share(), "stage")

@@ -60,12 +60,16 @@ def sample_validity(samples: DataFrame) -> DataFrame:
 def valid_samples(samples: DataFrame, min_share: float = C.MIN_VALID_SHARE) -> DataFrame:
     """The valid samples; an error if their share is below the minimum."""
     report = sample_validity(samples).first()
-    if report.valid_share < min_share:
+    check_validity(report.total, report.valid, min_share)
+    return samples.filter(is_valid_sample())
+
+
+def check_validity(total: int, valid: int, min_share: float = C.MIN_VALID_SHARE) -> None:
+    """An error if too few of the samples are valid."""
+    if (valid / total if total else 0.0) < min_share:
         raise ValueError(
-            f"{report.valid} of {report.total} samples are valid, "
-            f"a share of {min_share:.0%} is required"
+            f"{valid} of {total} samples are valid, a share of {min_share:.0%} is required"
         )
-    return samples.filter(is_valid_sample())
 
 
 def label_counts(samples: DataFrame) -> DataFrame:

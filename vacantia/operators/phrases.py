@@ -9,6 +9,7 @@ from vacantia import constants as C
 from vacantia.functions.ngrams import neighbour_structs
 from vacantia.functions.text import standard_words
 from vacantia.operators.joins import salted_lookup
+from vacantia.operators.word_filter import WordFilter
 from vacantia.scratch import stage
 
 # --- fixed value: the lift of a pair with a rare word ---
@@ -94,6 +95,22 @@ def frequent_pair_lift(listings: DataFrame, frequent: DataFrame, documents: Colu
     )
 
 
+def filtered_pair_lift(
+    listings: DataFrame, frequent: DataFrame, documents: Column, frequent_words: int
+) -> DataFrame:
+    """The same for frequent words of any size. A Bloom filter of them drops nearly all pairs
+    with a rare word before pairs are counted; the joins afterwards drop the rest."""
+    words = WordFilter(frequent, frequent_words)
+    pairs = _pairs(listings).filter(words.may_hold(F.col("first")) & words.may_hold(F.col("second")))
+    counted = pairs.groupBy("first", "second").agg(F.count("*").alias("n"))
+    first = frequent.select(F.col("term").alias("first"), F.col("n").alias("n_first"))
+    second = frequent.select(F.col("term").alias("second"), F.col("n").alias("n_second"))
+    found = salted_lookup(counted, first, "first", spread_by="second", how="inner")
+    found = salted_lookup(found, second, "second", spread_by="first", how="inner")
+    expected = F.col("n_first").cast("double") * F.col("n_second") / documents
+    return found.select(pair_term().alias("term"), "n", (F.col("n") / expected).alias("lift"))
+
+
 def significant_unigrams(
     unigrams: DataFrame,
     min_count: int = C.MIN_UNIGRAM_COUNT,

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.text import contains_keyword
-from vacantia.operators.features import labelled_samples, valid_samples, wages_and_features
+from vacantia.operators.features import (
+    check_validity,
+    is_valid_sample,
+    labelled_samples,
+    wages_and_features,
+)
 from vacantia.operators.joins import BROADCAST_BYTES, is_small
 from vacantia.operators.network import mean_gradients, train_wage_network
 from vacantia.operators.phrases import (
     RARE_LIFT,
     bigram_counts,
     bigram_lift,
+    filtered_pair_lift,
     frequent_pair_lift,
     significant_bigrams,
     significant_unigrams,
@@ -25,10 +31,10 @@ from vacantia.operators.phrases import (
 from vacantia.operators.regression import fit_wage_regression, marginal_effects
 from vacantia.operators.splits import train_test_split
 from vacantia.operators.vectors import vectorize
-from vacantia.scratch import stage
+from vacantia.scratch import stage, stage_counting
 from vacantia.sources.folds import persist_folds, read_folds, read_run_metadata
 from vacantia.sources.inference_store import commit_inference
-from vacantia.sources.phrase_documents import export_phrases
+from vacantia.sources.phrase_documents import export_ordered
 
 
 @dataclass
@@ -71,9 +77,12 @@ def discover_phrases(
     counts = stage(unigram_counts(texts), "unigram-counts")
     frequent = counts.filter(F.col("n") >= min_count)
     small = is_small(frequent, "term", broadcast_bytes)
-    if small and lift_threshold >= RARE_LIFT:
+    if lift_threshold >= RARE_LIFT:
         # No pair with a rare word can pass, so leaving those out first changes nothing.
-        lifts = frequent_pair_lift(texts, frequent, document_count(texts))
+        if small:
+            lifts = frequent_pair_lift(texts, frequent, document_count(texts))
+        else:
+            lifts = filtered_pair_lift(texts, frequent, document_count(texts), frequent.count())
     else:
         lifts = bigram_lift(counts, bigram_counts(texts), document_count(texts), min_count, small)
     return Phrases(
@@ -91,7 +100,7 @@ def discover_phrases(
 def export_significant_phrases(texts: DataFrame, path: str, **options) -> Phrases:
     phrases = discover_phrases(texts, **options)
     parameters = {**phrases.parameters, "total_documents": phrases.documents}
-    export_phrases(phrases.unigrams, phrases.bigrams, parameters, path)
+    export_ordered(phrases.unigrams, phrases.bigrams, parameters, path)
     return phrases
 
 
@@ -105,15 +114,18 @@ def build_training_samples(
 ) -> None:
     """Segment -> labelled phrase features -> vectors -> folds and metadata."""
     segment_texts = texts.filter(contains_keyword(F.col("text"), segment))
-    samples = stage(
+    samples, counts = stage_counting(
         wages_and_features(segment_texts, unigrams, bigrams).select("code", "wage", "ngrams"),
         "samples",
+        total=F.count("*"),
+        valid=F.count_if(F.coalesce(is_valid_sample(), F.lit(False))),
     )
-    labelled = labelled_samples(valid_samples(samples))
+    check_validity(counts["total"], counts["valid"])
+    labelled = labelled_samples(samples.filter(is_valid_sample()))
     vectors, names = vectorize(labelled, min_df)
     metadata = {
         "feature_names": names,
-        "full_sample_size": samples.count(),
+        "full_sample_size": counts["total"],
         "segment_keyword": segment,
     }
     persist_folds(vectors.select("code", "wage", "log_wage", "features"), folder, metadata)
@@ -139,14 +151,19 @@ def discover_wage_drivers(
     window: int = 15,
     seed: int = C.FOLD_SEED,
     use_log_wage: bool = True,
+    **fitting: float,
 ) -> int:
-    """Fit on the stored folds, take the effects on the validation rows, store them."""
+    """Fit on the stored folds, take the effects on the validation rows, store them.
+
+    `fitting` goes to the linear regression: its penalty and when it stops.
+    """
     metadata = read_run_metadata(spark, folder)
     names = metadata.feature_names
     samples = split_folds(spark, folder, test_share, seed, use_log_wage)
     validation = samples.filter(~F.col("is_train"))
     if model == "linear":
-        gradients = fit_wage_regression(samples.filter("is_train")).coefficients.toArray()
+        train = samples.filter("is_train")
+        gradients = fit_wage_regression(train, **fitting).coefficients.toArray()
     elif model == "network":
         trained = train_wage_network(
             samples, len(names), epochs=epochs, threshold=threshold, window=window

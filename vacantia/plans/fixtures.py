@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import gzip
 from functools import cached_property
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.dates import next_friday, publication_date
 from vacantia.functions.text import contains_keyword, listing_code
 from vacantia.functions.wage import wage_category
-from vacantia.operators.dedup import first_per_code, with_code
+from vacantia.operators.calendar import with_publication_date
+from vacantia.operators.dedup import fetch, first_per_code
 from vacantia.operators.effects import term_wage_contrast
 from vacantia.operators.features import labelled_samples, wages_and_features
 from vacantia.operators.numbering import number_rows
 from vacantia.operators.regression import regression_errors
-from vacantia.plans.curate import listings
+from vacantia.plans.curate import standardised
 from vacantia.plans.etl import Phrases, discover_phrases
-from vacantia.scratch import stage
+from vacantia.scratch import fresh_folder, stage
 from vacantia.sources.cards import page_blocks
+from vacantia.sources.commit_log import qualified
+from vacantia.sources.snapshot_format import list_files, write_snapshot_files
 
 CARD_BLOCK = "(?s)<p>(.*?)</p>"
+CUT_BYTES = 200  # of a gzip file, far less than any has
 
 # Fixed value: a raw listing made from a document, with slots for the SQL dialect.
 RAW_LISTING = """concat(
@@ -54,11 +60,11 @@ class Views:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        """The documents; spread over the cores if they come in fewer files than cores,
+        """The documents; spread over the cores if they come in fewer parts than cores,
         since one file may be a single unsplittable row group."""
         documents = self.table("documents")
         cores = self.spark.sparkContext.defaultParallelism
-        if len(documents.inputFiles()) < cores:
+        if documents.rdd.getNumPartitions() < cores:
             return documents.repartition(cores, "doc_id")
         return documents
 
@@ -98,8 +104,19 @@ class Views:
         in_segment = contains_keyword(F.col("raw"), segment)
         return self.curated(wage_category=wage_category(F.col("raw")), in_segment=in_segment)
 
+    def first_listings(self) -> DataFrame:
+        """(doc_id, code, source_file, line_no, raw), one listing per code. It is chosen by
+        position; the text is fetched afterwards by the number of its document."""
+        code = listing_code(F.expr(SPARK_RAW_LISTING)).alias("code")
+        name = F.concat(F.lit("vacancies_"), "source", F.lit(".txt.gz")).alias("source_file")
+        facts = self.table("documents").select("doc_id", name, code)
+        numbered = number_rows(facts, "source_file", "doc_id", "line_no")
+        first = first_per_code(numbered.filter(F.col("code").isNotNull()))
+        texts = self.raw_documents().select("doc_id", "raw")
+        return fetch(texts, first, ["doc_id"])
+
     def listings(self) -> DataFrame:
-        return listings(self.raw_listings())
+        return standardised(with_publication_date(self.first_listings().drop("doc_id")))
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -136,7 +153,7 @@ class Views:
     def weekly_lines(self) -> DataFrame:
         """The same, named and numbered like lines of snapshot files."""
         name = F.concat(F.lit("vacancies_"), F.col("snapshot_date").cast("string"), F.lit(".txt.gz"))
-        curated = first_per_code(with_code(self.raw_listings()))
+        curated = self.first_listings()
         day = next_friday(publication_date(F.col("raw")))
         weekly = (
             curated.withColumn("snapshot_date", day)
@@ -147,6 +164,38 @@ class Views:
             "source_file", "line_no", "raw"
         )
 
+    @cached_property
+    def flat_lines(self) -> DataFrame:
+        """Lines of the weekly snapshots, of one that is too short, and of one without dates."""
+        weekly = stage(self.weekly_lines(), "weekly")
+        first = weekly.filter(F.col("source_file") == weekly.agg(F.min("source_file")).scalar())
+        short = first.filter("line_no <= 3").withColumn(
+            "source_file", F.lit("vacancies_short.txt.gz")
+        )
+        undated = first.select(
+            F.lit("vacancies_undated.txt.gz").alias("source_file"),
+            "line_no",
+            F.concat("raw", F.lit(" x")).alias("raw"),
+        )
+        return weekly.unionByName(short).unionByName(undated)
+
+    def flat_folder(self, lines: DataFrame | None = None) -> str:
+        """A folder with a gzip file per snapshot, one that was cut off, an empty one, and one
+        of another name."""
+        folder = fresh_folder(self.spark, "drop")
+        write_snapshot_files(self.flat_lines if lines is None else lines, folder)
+        store, base = FileSystem.from_uri(qualified(self.spark, folder))
+        whole = list_files(qualified(self.spark, folder))
+        with store.open_input_stream(whole[0].path, compression=None) as stream:
+            cut = stream.read(min(CUT_BYTES, whole[0].length - 1))
+        nothing, note = gzip.compress(b"", mtime=0), gzip.compress(b"a note\n", mtime=0)
+        for name, content in (
+            ("vacancies_damaged.txt.gz", cut), ("vacancies_empty.txt.gz", nothing), ("notes.txt.gz", note)
+        ):
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(content)
+        return folder
+
     def processed(self) -> DataFrame:
         """Snapshots with at least an average number of listings."""
         weeks = self.weekly_snapshots().groupBy("snapshot_date").agg(F.count("*").alias("n"))

@@ -118,6 +118,17 @@ STEPS: dict[str, str] = {
       row_number() over (partition by source_file order by position) as line_no, raw
       from (select 'vacancies_' || cast(snapshot_date as varchar) || '.txt.gz' as source_file,
                    cast(code as bigint) as position, raw from weekly) w""",
+    "flat_lines": """select * from weekly_lines
+      union all select 'vacancies_short.txt.gz', line_no, raw from weekly_lines
+        where line_no <= 3 and source_file = (select min(source_file) from weekly_lines)
+      union all select 'vacancies_undated.txt.gz', line_no, raw || ' x' from weekly_lines
+        where source_file = (select min(source_file) from weekly_lines)""",
+    "flat_gate": rf"""select source_file, count(*) as lines_checked,
+      count(*) filter (regexp_matches(raw, '\d{{2}}/\d{{2}}/\d{{4}}[{UNICODE_SPACE}]*$'))
+        as lines_dated
+      from flat_lines where line_no <= 10 group by source_file""",
+    "flat_valid": """select l.* from flat_lines l join flat_gate g using (source_file)
+      where g.lines_checked = 10 and g.lines_dated = 10""",
     "processed": """select snapshot_date from (
       select snapshot_date, count(*) as n, avg(count(*)) over () as mean
       from weekly group by snapshot_date) w where n >= mean""",
@@ -131,10 +142,12 @@ STEPS: dict[str, str] = {
       as second from words""",
     "bigrams": """select first, second, count(*) as n from pairs where second is not null
       group by first, second""",
+    "documents_counted": "select count(*) as total from listings",
     "lifts": f"""select b.first || ' ' || b.second as term, b.n,
       case when coalesce(u1.n, 0) < {C.MIN_UNIGRAM_COUNT}
              or coalesce(u2.n, 0) < {C.MIN_UNIGRAM_COUNT} then -1.0
-           else b.n / (cast(u1.n as double) * u2.n / (select count(*) from listings)) end as lift
+           else b.n / (cast(u1.n as double) * u2.n
+             / (select total from documents_counted)) end as lift
       from bigrams b left join unigrams u1 on u1.term = b.first
       left join unigrams u2 on u2.term = b.second""",
     "known_unigrams": f"""select * from unigrams where n >= {C.MIN_UNIGRAM_COUNT}
@@ -180,6 +193,17 @@ STEPS: dict[str, str] = {
       (select count(*) from samples) as sample_size,
       count(*) over (partition by inference_id) as vocabulary_size,
       keyword, marginal_effect, prop_doc from inference_rows""",
+    "two_features": f"""select *, row_number() over (order by {hash_of('code', 42)}, code)
+        <= floor(count(*) over () * 0.5) as is_train
+      from (select code, ln((cast(wage_low as double) + wage_high) / 2) as y,
+              cast(contains(text, 'python') as double) as a,
+              cast(length(text) > 1000 as double) as b
+            from listings where cast(wage_low as double) + wage_high > 0) s""",
+    "two_slopes": """select
+      (bb * ay - ab * bz) / (aa * bb - ab * ab) as slope_a,
+      (aa * bz - ab * ay) / (aa * bb - ab * ab) as slope_b
+      from (select covar_pop(a, a) as aa, covar_pop(b, b) as bb, covar_pop(a, b) as ab,
+              covar_pop(a, y) as ay, covar_pop(b, y) as bz from two_features where is_train) c""",
     "history": """select model, cast(row_number() over (partition by model order by month) as integer)
       as epoch, val_rmse from (
       select l_suppkey as model, date_trunc('month', l_shipdate) as month,
@@ -241,6 +265,21 @@ ENTRIES: dict[str, str] = {
             union all
             select distinct 'vacancies_' || role || '.txt.gz' from conversations) f
       left join gate using (source_file)""",
+    "scan_flat_snapshots": "select * from flat_lines",
+    "manifest_of_files": """select source_file,
+      case when lines_checked = 10 and lines_dated = 10 then 'valid' else 'discarded' end as status,
+      case when source_file = 'vacancies_damaged.txt.gz' then 'damaged'
+           when lines_checked is null then 'no readable line'
+           when lines_checked < 10 then 'too few lines'
+           when lines_dated < 10 then 'line without date' end as reason
+      from (select source_file from flat_gate union all select 'vacancies_damaged.txt.gz'
+            union all select 'vacancies_empty.txt.gz') f
+      left join flat_gate using (source_file)""",
+    "missing_weeks_of_files": """select snapshot_date from (
+      select cast(unnest(generate_series(date '2024-11-15', date '2025-01-31', interval 7 day))
+        as date) as snapshot_date) f
+      where 'vacancies_' || cast(snapshot_date as varchar) || '.txt.gz' not in (
+        select source_file from flat_valid)""",
     "valid_lines": "select * from valid",
     "batch_size_gate": """select * from weekly_lines
       qualify count(*) over (partition by source_file) >= 100""",
@@ -291,6 +330,13 @@ ENTRIES: dict[str, str] = {
       from (select 'before' as stage, code, count(*) as n from coded group by code
             union all select 'after', code, count(*) from deduplicated group by code) s
       group by stage""",
+    "dedup_with_report": """select stage, cast(sum(n) as bigint) as records,
+      cast(coalesce(sum(n) filter (code is not null and n > 1), 0) as bigint) as duplicates,
+      round(coalesce(sum(n) filter (code is not null and n > 1), 0) / sum(n), 6) as duplicate_share,
+      (select count(*) from deduplicated) as kept
+      from (select 'before' as stage, code, count(*) as n from coded group by code
+            union all select 'after', code, count(*) from deduplicated group by code) s
+      group by stage""",
     "segment_filter": """select code, wage_info, text from listings
       where contains(text, 'python')""",
     "segment_filter_raw": f"select doc_id, raw from raw_documents where {IN_SEGMENT}",
@@ -331,6 +377,7 @@ ENTRIES: dict[str, str] = {
       b as significant_bigram_size, u as unigrams, b as bigrams
       from (select (select count(*) from known_unigrams) as u,
                    (select count(*) from known_bigrams) as b) c""",
+    "phrases_of_filtered_pairs": "select term, n, round(lift, 6) as lift from known_bigrams",
     "phrases_import": """select term, 1 as size from known_unigrams
       union all select term, 2 from known_bigrams""",
     "doc_unigrams": "select code, unigrams from features",
@@ -402,11 +449,21 @@ ENTRIES: dict[str, str] = {
             from history) h group by model""",
     "best_epoch": """select model, epoch as best_epoch, val_rmse as best_rmse from history
       qualify row_number() over (partition by model order by val_rmse, epoch) = 1""",
+    "wage_drivers_of_two_features": """select cast(1 as bigint) as inference_id,
+      'all' as segment_keyword, (select count(*) from listings) as sample_size,
+      cast(2 as bigint) as vocabulary_size, e.keyword,
+      round(e.effect, 4) as marginal_effect, round(e.share, 6) as prop_doc
+      from (select 'python' as keyword, (select slope_a from two_slopes) as effect,
+              (select avg(a) from two_features where not is_train) as share
+            union all select 'long', (select slope_b from two_slopes),
+              (select avg(b) from two_features where not is_train)) e""",
     "commit_inference": "select * from stored",
     "effects_by_inference": "select * from stored where segment_keyword = 'logistica'",
     "cascade_delete": "select * from stored where inference_id <> 1",
     "stream_ingest": f"""select source_file, line_no, wage_info, text
       from ({standardised('valid')}) s""",
+    "stream_flat_ingest": f"""select source_file, line_no, wage_info, text
+      from ({standardised('flat_valid')}) s""",
     "stream_dedup": f"""select {CODE} as code, source_file, line_no, {PUB} as pub_date
       from valid where {CODE} is not null
       qualify row_number() over (partition by {CODE} order by source_file, line_no) = 1""",
@@ -424,11 +481,17 @@ DATES: dict[str, tuple[str, ...]] = {
     "temporal_scope": ("pub_date",),
     "capped_listings": ("pub_date",),
     "missing_weeks": ("snapshot_date",),
+    "missing_weeks_of_files": ("snapshot_date",),
     "last_processed": ("last_processed", "next_friday"),
     "stream_dedup": ("pub_date",),
 }
 
 
+# Steps that several others refer to are worked out once.
+SHARED = {"listings", "words", "unigrams", "bigrams", "known_unigrams", "known_bigrams", "kept_words",
+          "kept_pairs", "features", "samples", "weekly_lines", "flat_lines", "two_features"}
+
+
 def _steps_for(body: str) -> list[str]:
     """Names of the steps the body refers to, directly or not, in order of definition."""
     needed: set[str] = set()
@@ -444,7 +507,9 @@ def _steps_for(body: str) -> list[str]:
 
 
 def sql(body: str, dates: Iterable[str] = ()) -> str:
-    steps = ",\n".join(f"{name} as ({STEPS[name]})" for name in _steps_for(body))
+    steps = ",\n".join(
+        f"{name} as {'materialized ' * (name in SHARED)}({STEPS[name]})" for name in _steps_for(body)
+    )
     if dates:
         replaced = ", ".join(f"cast({d} as varchar) as {d}" for d in dates)
         body = f"select * replace ({replaced}) from ({body}) entry"

@@ -19,8 +19,9 @@ from vacantia.operators.network import train_wage_network
 from vacantia.plans import etl
 from vacantia.plans.curate import standardised
 from vacantia.plans.fixtures import CARD_BLOCK, Views
-from vacantia.scratch import fresh_folder, stage
-from vacantia.sources import cards, folds, inference_store, phrase_documents, snapshots
+from vacantia.scratch import fresh_folder, stage, stage_counting
+from vacantia.sources import cards, file_ledger, folds, inference_store, phrase_documents
+from vacantia.sources import snapshot_format, snapshots
 from vacantia.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,7 @@ SCOPE_TARGET = dt.date(2024, 12, 31)
 SCOPE_DAYS = 21
 WEEKLY_MINIMUM = 100
 SAMPLE_SEED = 7
+LONG_TEXT = 1000
 SAMPLING_RATE = 0.5
 INFERENCE_DATES = (dt.datetime(2024, 1, 15), dt.datetime(2025, 12, 15))
 
@@ -105,6 +107,36 @@ def snapshot_manifest(views: Views) -> DataFrame:
     return snapshots.snapshot_manifest(files, snapshots.snapshot_gate(_line_ends(views)))
 
 
+@query
+def scan_flat_snapshots(views: Views) -> DataFrame:
+    return snapshot_format.read_snapshot_files(views.spark, views.flat_folder(), skip_damaged=True)
+
+
+def _manifest_of_files(views: Views) -> DataFrame:
+    """The manifest of real files, from a ledger that a second run has nothing to add to."""
+    folder, ledger = views.flat_folder(), fresh_folder(views.spark, "ledger")
+    file_ledger.update_ledger(views.spark, folder, ledger)
+    if not file_ledger.update_ledger(views.spark, folder, ledger).isEmpty():
+        raise RuntimeError("the ledger found unchanged files changed")
+    rows = file_ledger.read_ledger(views.spark, ledger)
+    return snapshots.snapshot_manifest(
+        file_ledger.listed_files(views.spark, folder),
+        file_ledger.ledger_gate(rows),
+        damaged=rows.filter("damaged"),
+    )
+
+
+@query
+def manifest_of_files(views: Views) -> DataFrame:
+    return _manifest_of_files(views)
+
+
+@query
+def missing_weeks_of_files(views: Views) -> DataFrame:
+    done = file_ledger.processed_dates(_manifest_of_files(views))
+    return calendar.missing_weeks(done, FIRST_SNAPSHOT, TODAY)
+
+
 @query
 def valid_lines(views: Views) -> DataFrame:
     return snapshots.valid_lines(
@@ -241,8 +273,7 @@ def next_friday(views: Views) -> DataFrame:
 
 @query
 def dedup_listings(views: Views) -> DataFrame:
-    kept = dedup.first_per_code(dedup.with_code(views.raw_listings()))
-    return kept.select("code", "source_file", "line_no", "raw")
+    return views.first_listings().select("code", "source_file", "line_no", "raw")
 
 
 def _codes(views: Views) -> DataFrame:
@@ -261,7 +292,15 @@ def top_duplicates(views: Views) -> DataFrame:
 
 @query
 def duplicate_report(views: Views) -> DataFrame:
-    return rounded(dedup.duplicate_report_before_after(views.lines()), "duplicate_share")
+    return rounded(dedup.duplicate_report_before_after(_codes(views)), "duplicate_share")
+
+
+@query
+def dedup_with_report(views: Views) -> DataFrame:
+    """The report of a deduplication, counted while it was done."""
+    kept, report = dedup.dedup_with_report(stage(views.raw_listings(), "lines"))
+    records = kept.agg(F.count("*")).scalar()
+    return rounded(report.withColumn("kept", records), "duplicate_share")
 
 
 @query
@@ -384,18 +423,30 @@ def _exported(views: Views) -> str:
 
 @query
 def phrases_export(views: Views) -> DataFrame:
-    documents = phrase_documents.read_phrase_documents(views.spark, _exported(views))
-    return documents.groupBy("parameters", "artifact_sizes").agg(
-        F.sum(F.size("unigrams")).alias("unigrams"), F.sum(F.size("bigrams")).alias("bigrams")
-    ).select("parameters.*", "artifact_sizes.*", "unigrams", "bigrams")
+    path = _exported(views)
+    about = phrase_documents.read_about(views.spark, path)
+    unigrams, bigrams = phrase_documents.import_ordered(views.spark, path)
+    stated = {**about["parameters"], **about["artifact_sizes"]}
+    return views.spark.range(1).select(
+        *[F.lit(value).alias(name) for name, value in stated.items()],
+        unigrams.agg(F.count("*")).scalar().alias("unigrams"),
+        bigrams.agg(F.count("*")).scalar().alias("bigrams"),
+    )
 
 
 @query
 def phrases_import(views: Views) -> DataFrame:
-    unigrams, bigrams = phrase_documents.import_phrases(views.spark, _exported(views))
+    unigrams, bigrams = phrase_documents.import_ordered(views.spark, _exported(views))
     return unigrams.withColumn("size", F.lit(1)).unionByName(bigrams.withColumn("size", F.lit(2)))
 
 
+@query
+def phrases_of_filtered_pairs(views: Views) -> DataFrame:
+    """Significant pairs as found when the frequent words are too many to broadcast."""
+    found = etl.discover_phrases(views.texts, broadcast_bytes=0)
+    return rounded(found.bigrams, "lift")
+
+
 # --- features and samples ---
 
 
@@ -453,18 +504,23 @@ def vectorize(views: Views) -> DataFrame:
 
 @query
 def run_sizes(views: Views) -> DataFrame:
-    in_segment = text_functions.contains_keyword(F.col("text"), SEGMENT)
-    sizes = views.features().agg(
-        F.count("*").alias("documents"),
-        F.count_if(in_segment).alias("segment"),
-        F.count_if(in_segment & (F.col("wage") > 0)).alias("labelled"),
-    )
-    terms = vectors.vocabulary(
-        features.labelled_samples(views.features().filter(in_segment))
+    """Sizes of a run, counted while its samples are written."""
+    in_segment = F.col("in_segment")
+    samples, sizes = stage_counting(
+        views.features().select(
+            "code", "wage", "ngrams",
+            text_functions.contains_keyword(F.col("text"), SEGMENT).alias("in_segment"),
+        ),
+        "samples",
+        documents=F.count("*"),
+        segment=F.count_if(in_segment),
+        labelled=F.count_if(in_segment & (F.col("wage") > 0)),
     )
+    terms = vectors.vocabulary(features.labelled_samples(samples.filter(in_segment)))
     counted = {"vocabulary": terms, "unigrams": views.phrases.unigrams, "bigrams": views.phrases.bigrams}
-    return sizes.select(
-        "*", *[t.agg(F.count("*")).scalar().alias(name) for name, t in counted.items()]
+    return views.spark.range(1).select(
+        *[F.lit(sizes[name]).cast("bigint").alias(name) for name in ("documents", "segment", "labelled")],
+        *[t.agg(F.count("*")).scalar().alias(name) for name, t in counted.items()],
     )
 
 
@@ -634,6 +690,38 @@ def discover_wage_drivers(views: Views) -> DataFrame:
     ).select("inference_id", "segment_keyword", "sample_size", "keyword", "marginal_effect", "prop_doc")
 
 
+@query
+def wage_drivers_of_two_features(views: Views) -> DataFrame:
+    """From folds to stored effects, with two features and no penalty, which SQL has too."""
+    text = F.col("text")
+    present = F.array(
+        F.when(text_functions.contains_keyword(text, SEGMENT), F.lit(SEGMENT)),
+        F.when(F.length(text) > LONG_TEXT, F.lit("long")),
+    )
+    samples = views.texts.select(
+        "code", wage_functions.wage_label(F.col("wage_info")).alias("wage"),
+        F.array_compact(present).alias("ngrams"),
+    )
+    vectorised, names = vectors.vectorize(features.labelled_samples(samples), min_df=1)
+    folder, store = (fresh_folder(views.spark, name) for name in ("training", "inferences"))
+    folds.persist_folds(
+        vectorised.select("code", "wage", "log_wage", "features"),
+        folder,
+        {"feature_names": names, "full_sample_size": samples.count(), "segment_keyword": "all"},
+    )
+    etl.discover_wage_drivers(
+        views.spark, folder, store, *INFERENCE_DATES, reg_param=0.0, tolerance=1e-12
+    )
+    found = inference_store.effects_by_inference(
+        inference_store.read_inferences(views.spark, store),
+        inference_store.read_effects(views.spark, store),
+    ).select(
+        "inference_id", "segment_keyword", "sample_size", "vocabulary_size",
+        "keyword", "marginal_effect", "prop_doc",
+    )
+    return rounded(rounded(found, "marginal_effect", digits=4), "prop_doc")
+
+
 # --- inference store ---
 
 
@@ -715,6 +803,20 @@ def stream_ingest(views: Views) -> DataFrame:
     )
 
 
+@query
+def stream_flat_ingest(views: Views) -> DataFrame:
+    """Snapshot files that arrive in two lots, among them one that was cut off."""
+    late = F.col("source_file") < "vacancies_2024-12"
+    source = views.flat_folder(views.flat_lines.filter(~late))
+    target, checkpoint = (fresh_folder(views.spark, n) for n in ("stream", "stream-checkpoint"))
+    ingest.stream_ingest_files(views.spark, source, target, checkpoint).awaitTermination()
+    snapshot_format.write_snapshot_files(views.flat_lines.filter(late), source)
+    ingest.stream_ingest_files(views.spark, source, target, checkpoint).awaitTermination()
+    return ingest.read_ingested(views.spark, target).select(
+        "source_file", "line_no", "wage_info", "text"
+    )
+
+
 @query
 def stream_dedup(views: Views) -> DataFrame:
     target = _two_arrivals(

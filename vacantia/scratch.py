@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -52,3 +52,11 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     path = fresh_folder(table.sparkSession, name)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def stage_counting(table: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates over the table that are taken while it is written."""
+    observation = Observation()
+    observed = table.observe(observation, *[value.alias(key) for key, value in counts.items()])
+    staged = stage(observed, name)
+    return staged, observation.get

@@ -1,8 +1,9 @@
-"""History of inferences and their keyword effects, as append-only Parquet tables.
+"""History of inferences and their keyword effects: Parquet files and a commit log.
 
-An inference is visible once its row is in `inferences`. The row is written last, so a
-commit that fails half-way leaves nothing visible and the next one replaces its files.
-A deleted inference gets a row in `deleted`. One writer at a time.
+A commit is two entries of the log: the first takes the next id, which no other writer then
+gets, the second, after the effects are written, makes the inference visible with all of them.
+One that fails in between leaves nothing visible. A deletion is an entry too; of two that
+delete the same inference, one fails.
 """
 
 from __future__ import annotations
@@ -13,9 +14,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.schemas import INFERENCES, MARGINAL_EFFECTS
+from vacantia.schemas import MARGINAL_EFFECTS
+from vacantia.sources import commit_log
+from vacantia.sources.commit_log import Conflict
 
 MAX_KEYWORD_LENGTH = 100
+ENTRY = (
+    "version long, action string, id long, last_id long, segment_keyword string, "
+    "start_date string, end_date string, inference_date string, sample_size long, "
+    "vocabulary_size long"
+)
 
 
 def _path(root: str, table: str) -> str:
@@ -23,38 +31,32 @@ def _path(root: str, table: str) -> str:
 
 
 def init_store(spark: SparkSession, root: str) -> None:
-    """Create the tables that do not exist yet."""
-    for table, schema in (("inferences", INFERENCES), ("deleted", "id bigint")):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(_path(root, table))
-    empty = spark.createDataFrame([], MARGINAL_EFFECTS)
-    empty.write.mode("ignore").partitionBy("inference_id").parquet(_path(root, "marginal_effects"))
+    """Create the folders that do not exist yet."""
+    for table in ("log", "marginal_effects"):
+        files, path = commit_log.file_system(spark, _path(root, table))
+        files.mkdirs(path)
 
 
-def _all_inferences(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(INFERENCES).parquet(_path(root, "inferences"))
-
-
-def read_inferences(spark: SparkSession, root: str, segment: str | None = None) -> DataFrame:
-    deleted = spark.read.schema("id bigint").parquet(_path(root, "deleted"))
-    inferences = _all_inferences(spark, root)
+def read_inferences(
+    spark: SparkSession, root: str, segment: str | None = None, version: int | None = None
+) -> DataFrame:
+    """The inferences that are there, or were at a version of the log, of a segment if given."""
+    entries = commit_log.read_log(spark, _path(root, "log"), ENTRY, version)
+    inferences = entries.filter("action = 'commit'")
     if segment is not None:
         inferences = inferences.filter(F.col("segment_keyword") == segment)
-    return live_inferences(inferences, deleted)
-
-
-def live_inferences(inferences: DataFrame, deleted: DataFrame) -> DataFrame:
-    return inferences.join(deleted, "id", "left_anti")
-
-
-def visible_effects(effects: DataFrame, inferences: DataFrame) -> DataFrame:
-    """Effects whose inference is there; deleted and half-written ones drop out."""
-    ids = inferences.select(F.col("id").alias("inference_id"))
-    return effects.join(ids, "inference_id", "left_semi")
+    deleted = entries.filter("action = 'delete'").select("id")
+    times = [F.col(n).cast("timestamp").alias(n) for n in ("start_date", "end_date", "inference_date")]
+    return inferences.join(deleted, "id", "left_anti").select(
+        "id", "segment_keyword", *times, "sample_size", "vocabulary_size"
+    )
 
 
-def read_effects(spark: SparkSession, root: str) -> DataFrame:
+def read_effects(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """Effects of the inferences that are there; deleted and half-written ones drop out."""
     effects = spark.read.schema(MARGINAL_EFFECTS).parquet(_path(root, "marginal_effects"))
-    return visible_effects(effects, read_inferences(spark, root))
+    ids = read_inferences(spark, root, version=version).select(F.col("id").alias("inference_id"))
+    return effects.join(ids, "inference_id", "left_semi")
 
 
 def effects_by_inference(
@@ -82,6 +84,21 @@ def _check_effects(effects: DataFrame) -> None:
         raise ValueError(f"effects not stored, offending rows per check: {problems}")
 
 
+def _as_text(when: dt.datetime) -> str:
+    """ISO text with an offset; times without one are local."""
+    return when.astimezone(dt.timezone.utc).isoformat(sep=" ")
+
+
+def _reserve(spark: SparkSession, root: str) -> int:
+    """An id that no other writer has or gets."""
+
+    def entry(version: int, before: dict) -> dict:
+        new_id = before.get("last_id", 0) + 1
+        return {"action": "reserve", "id": new_id, "last_id": new_id}
+
+    return commit_log.append(spark, _path(root, "log"), entry)["id"]
+
+
 def commit_inference(
     spark: SparkSession,
     root: str,
@@ -102,23 +119,37 @@ def commit_inference(
         raise ValueError("segment keyword is too long")
     init_store(spark, root)
     _check_effects(effects)
-    last = _all_inferences(spark, root).agg(F.max("id")).first()[0]
-    new_id = (last or 0) + 1
-    # Overwrites what a failed commit with the same id may have left.
+    new_id = _reserve(spark, root)
     effects.select(
         F.xxhash64(F.lit(new_id), "keyword").alias("id"), "keyword", "marginal_effect", "prop_doc"
     ).write.mode("overwrite").parquet(
         os.path.join(_path(root, "marginal_effects"), f"inference_id={new_id}")
     )
-    row = (new_id, segment_keyword, start_date, end_date, when, sample_size, vocabulary_size)
-    spark.createDataFrame([row], INFERENCES).coalesce(1).write.mode("append").parquet(
-        _path(root, "inferences")
-    )
+
+    def entry(version: int, before: dict) -> dict:
+        return {
+            "action": "commit",
+            "id": new_id,
+            "last_id": before["last_id"],
+            "segment_keyword": segment_keyword,
+            "start_date": _as_text(start_date),
+            "end_date": _as_text(end_date),
+            "inference_date": _as_text(when),
+            "sample_size": sample_size,
+            "vocabulary_size": vocabulary_size,
+        }
+
+    commit_log.append(spark, _path(root, "log"), entry)
     return new_id
 
 
 def delete_inference(spark: SparkSession, root: str, inference_id: int) -> None:
-    """Remove an inference; its effects go with it."""
-    spark.createDataFrame([(inference_id,)], "id bigint").coalesce(1).write.mode("append").parquet(
-        _path(root, "deleted")
-    )
+    """Remove an inference; its effects go with it. One that is not there is a conflict."""
+
+    def entry(version: int, before: dict) -> dict:
+        alive = read_inferences(spark, root, version=version - 1)
+        if alive.filter(F.col("id") == inference_id).isEmpty():
+            raise Conflict(f"there is no inference {inference_id}")
+        return {"action": "delete", "id": inference_id, "last_id": before["last_id"]}
+
+    commit_log.append(spark, _path(root, "log"), entry)
