@@ -143,3 +143,30 @@ def test_numbering_of_a_hot_group_in_small_blocks(spark):
         for n, o in enumerate(sorted(o for h, o in rows if h == g), 1)
     }
     assert {(r.g, r.o): r.n for r in numbered} == expected
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_dedup_and_its_report_in_one_pass(make_lines, partitions):
+    lines = make_lines(hot_files(), partitions)
+    kept, report = dedup.dedup_with_report(lines)
+    columns = ("code", "source_file", "line_no", "raw")
+    expected = dedup.first_per_code(dedup.with_code(lines)).select(*columns).collect()
+    assert sorted(map(tuple, kept.select(*columns).collect())) == sorted(map(tuple, expected))
+    late = dedup.dedup_lines(lines).select(*columns).collect()
+    assert sorted(map(tuple, late)) == sorted(map(tuple, expected))
+    coded = lines.withColumn("code", listing_code(lines["raw"]))
+    plain = dedup.duplicate_report_before_after(coded).collect()
+    assert {r.stage: tuple(r) for r in report.collect()} == {r.stage: tuple(r) for r in plain}
+
+
+def test_report_of_no_lines(spark):
+    nothing = spark.createDataFrame([], "source_file string, line_no bigint, raw string")
+    kept, report = dedup.dedup_with_report(nothing)
+    assert kept.count() == 0
+    assert {r.stage: tuple(r)[:3] for r in report.collect()} == {"before": (0, 0, 0.0), "after": (0, 0, 0.0)}
+
+
+def test_text_is_shuffled_once(spark, make_lines, monkeypatch):
+    monkeypatch.setattr(dedup, "is_small", lambda *_: False)
+    plan = dedup.dedup_lines(make_lines(hot_files()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan

@@ -35,15 +35,17 @@ def top_duplicates(listings: DataFrame, n: int | None = None) -> DataFrame:
     return ordered.limit(n) if n is not None and n > 0 else ordered
 
 
-def first_per_code(listings: DataFrame) -> DataFrame:
-    """One listing per code, the first by (source_file, line_no).
+def first_per_code(
+    listings: DataFrame, order: tuple[str, ...] = ("source_file", "line_no")
+) -> DataFrame:
+    """One listing per code, the first by (source_file, line_no) or by another order.
 
     The rank filter is pushed below the shuffle as a group limit, so a code that holds
     a large part of all rows sends one row per input partition.
     """
-    order = Window.partitionBy("code").orderBy("source_file", "line_no")
+    ordered = Window.partitionBy("code").orderBy(*order)
     return (
-        listings.withColumn("_rank", F.row_number().over(order))
+        listings.withColumn("_rank", F.row_number().over(ordered))
         .filter(F.col("_rank") == 1)
         .drop("_rank")
     )

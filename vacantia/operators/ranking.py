@@ -63,8 +63,9 @@ def add_sum_before(rows: DataFrame, weight: str, name: str, *order: Column) -> D
 
 def add_average_rank(rows: DataFrame, by: str, name: str, descending: bool = True) -> DataFrame:
     """Add the rank by a column from 1, equal values sharing the mean of their ranks; NULL has
-    none. Values are counted first, so a value of any share of the rows is one row to rank."""
-    counted = stage(rows.groupBy(by).agg(F.count("*").alias("_same")).dropna(subset=[by]), "values")
+    none. Values are counted first, so a value of any share of the rows is one row to rank. The
+    input is read several times, so give a written one."""
+    counted = rows.dropna(subset=[by]).groupBy(by).agg(F.count("*").alias("_same"))
     order = F.desc(by) if descending else F.asc(by)
     ranks = add_sum_before(counted, "_same", "_before", order).select(
         by, (F.col("_before") + (F.col("_same") + 1) / 2.0).alias(name)

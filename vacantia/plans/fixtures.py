@@ -13,7 +13,7 @@ from vacantia.functions.dates import next_friday, publication_date
 from vacantia.functions.text import contains_keyword, listing_code
 from vacantia.functions.wage import wage_category
 from vacantia.operators.calendar import with_publication_date
-from vacantia.operators.dedup import fetch, first_per_code
+from vacantia.operators.dedup import first_per_code, with_code
 from vacantia.operators.effects import term_wage_contrast
 from vacantia.operators.features import labelled_samples, wages_and_features
 from vacantia.operators.numbering import number_rows
@@ -26,6 +26,7 @@ from vacantia.sources.commit_log import qualified
 from vacantia.sources.snapshot_format import list_files, write_snapshot_files
 
 CARD_BLOCK = "(?s)<p>(.*?)</p>"
+FILE_ORDER = ("source_file", "doc_id")
 CUT_BYTES = 200  # of a gzip file, far less than any has
 
 # Fixed value: a raw listing made from a document, with slots for the SQL dialect.
@@ -44,7 +45,7 @@ DAY_OFFSET = "case when doc_id % 7 = 3 then 5 else doc_id % 60 end"
 
 SPARK_RAW_LISTING = RAW_LISTING.format(
     S="string",
-    FLAT=r"regexp_replace(text, '[\\n\\r]', ' ')",
+    FLAT=r"translate(text, '\n\r', '  ')",
     DATE=f"date_format(date_add(date'2024-11-15', cast({DAY_OFFSET} as int)), 'dd/MM/yyyy')",
 )
 
@@ -69,11 +70,12 @@ class Views:
         return documents
 
     def raw_documents(self) -> DataFrame:
-        """(doc_id, source_file, raw): the listings before they are numbered."""
+        """(doc_id, source_file, raw): the listings before they are numbered. `raw` is a
+        generated row, so it is made once, and no filter on it moves below the spreading."""
         return self.documents().select(
             "doc_id",
             F.concat(F.lit("vacancies_"), "source", F.lit(".txt.gz")).alias("source_file"),
-            F.expr(SPARK_RAW_LISTING).alias("raw"),
+            F.inline(F.array(F.struct(F.expr(SPARK_RAW_LISTING).alias("raw")))),
         )
 
     def raw_listings(self) -> DataFrame:
@@ -94,8 +96,12 @@ class Views:
         return number_rows(facts, "source_file", "doc_id", "line_no").drop("doc_id")
 
     def curated(self, **derived: Column) -> DataFrame:
-        """One line per code with the derived columns."""
-        return first_per_code(self.lines(**derived).filter(F.col("code").isNotNull()))
+        """One line per code with the derived columns. Documents of a file are numbered in the
+        order of their ids, so the first by id is the first by line."""
+        columns = [expression.alias(name) for name, expression in derived.items()]
+        code = listing_code(F.col("raw")).alias("code")
+        facts = self.raw_documents().select("doc_id", "source_file", code, *columns)
+        return first_per_code(facts.filter(F.col("code").isNotNull()), FILE_ORDER)
 
     def dated(self) -> DataFrame:
         return self.curated(pub_date=publication_date(F.col("raw")))
@@ -107,16 +113,19 @@ class Views:
     def first_listings(self) -> DataFrame:
         """(doc_id, code, source_file, line_no, raw), one listing per code. It is chosen by
         position; the text is fetched afterwards by the number of its document."""
-        code = listing_code(F.expr(SPARK_RAW_LISTING)).alias("code")
-        name = F.concat(F.lit("vacancies_"), "source", F.lit(".txt.gz")).alias("source_file")
-        facts = self.table("documents").select("doc_id", name, code)
+        code = listing_code(F.col("raw")).alias("code")
+        facts = self.raw_documents().select("doc_id", "source_file", code)
         numbered = number_rows(facts, "source_file", "doc_id", "line_no")
         first = first_per_code(numbered.filter(F.col("code").isNotNull()))
+        # Nearly all texts are fetched: they move once, by their number, and the positions are
+        # the side that is hashed.
         texts = self.raw_documents().select("doc_id", "raw")
-        return fetch(texts, first, ["doc_id"])
+        return texts.join(first.hint("shuffle_hash"), "doc_id")
 
     def listings(self) -> DataFrame:
-        return standardised(with_publication_date(self.first_listings().drop("doc_id")))
+        """Standardised listings, one per code; without line numbers the text moves once."""
+        first = first_per_code(with_code(self.raw_documents()), FILE_ORDER)
+        return standardised(with_publication_date(first))
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -153,7 +162,7 @@ class Views:
     def weekly_lines(self) -> DataFrame:
         """The same, named and numbered like lines of snapshot files."""
         name = F.concat(F.lit("vacancies_"), F.col("snapshot_date").cast("string"), F.lit(".txt.gz"))
-        curated = self.first_listings()
+        curated = first_per_code(with_code(self.raw_documents()), FILE_ORDER)
         day = next_friday(publication_date(F.col("raw")))
         weekly = (
             curated.withColumn("snapshot_date", day)
