@@ -1,7 +1,10 @@
 import gzip
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vacantia.plans.curate import standardised
@@ -118,6 +121,16 @@ def test_stream_takes_each_file_once_whenever_it_was_changed(spark, drop, tmp_pa
     assert len(expected) == 27
 
 
+def test_the_source_needs_no_package_where_it_is_planned(tmp_path):
+    with snapshot_format.by_value():
+        sent = cloudpickle.dumps(snapshot_format.SnapshotSource)
+    code = (
+        "import sys; from pyspark import cloudpickle; kind = cloudpickle.loads(sys.stdin.buffer.read()); "
+        "kind({'path': '/', 'seen': '/tmp'}).streamReader(None); assert 'vacantia' not in sys.modules"
+    )
+    subprocess.run([sys.executable, "-c", code], input=sent, cwd=tmp_path, check=True)
+
+
 # --- the ledger ---
 
 

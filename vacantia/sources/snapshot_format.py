@@ -16,14 +16,17 @@ import gzip
 import io
 import json
 import posixpath
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -267,11 +270,29 @@ class SnapshotSource(DataSource):
         return SnapshotWriter(self.options, overwrite)
 
 
+@contextmanager
+def by_value() -> Iterator[None]:
+    """Send what is of this package with all it uses instead of by name: the process that plans
+    a stream doesn't get the packages that workers get."""
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session."""
+    with by_value():
+        spark.dataSource.register(SnapshotSource)
+
+
 def read_snapshot_files(
     spark: SparkSession, folder: str, glob: str = C.SNAPSHOT_GLOB, skip_damaged: bool = False
 ) -> DataFrame:
     """All lines of a flat folder's snapshots: (source_file, line_no, raw)."""
-    spark.dataSource.register(SnapshotSource)
+    register(spark)
     return (
         spark.read.format("snapshots")
         .option("glob", glob)
@@ -289,7 +310,7 @@ def stream_snapshot_files(
 ) -> DataFrame:
     """The same for files as they arrive; `seen` is a folder of the stream's own, which lasts as
     long as its checkpoint."""
-    spark.dataSource.register(SnapshotSource)
+    register(spark)
     return (
         spark.readStream.format("snapshots")
         .option("glob", glob)
@@ -303,7 +324,7 @@ def write_snapshot_files(lines: DataFrame, folder: str, mode: str = "append") ->
     """Write one gzip file per snapshot into a flat folder, lines in order. A file is written by
     one task; `write_snapshots` splits large snapshots over many."""
     spark = lines.sparkSession
-    spark.dataSource.register(SnapshotSource)
+    register(spark)
     (
         lines.repartition("source_file")
         .sortWithinPartitions("source_file", "line_no")
