@@ -94,3 +94,19 @@ def test_more_languages_than_are_learnt(make_documents, monkeypatch):
     rows += [(90_000 + 4 * i, "the word", f"z{i}") for i in range(5)]
     got = langid.identify(make_documents(rows)).collect()
     assert len(got) == len(rows) and {r["lang_pred"] for r in got} == {"en", "fr"}
+
+
+def test_rare_letters_are_letters(make_documents):
+    rows = [r for r in corpus(12) if r[2] in ("en", "fr")] + [(70_001, chr(0x30010) * 5, None)]
+    rows.append((70_002, chr(0xE0100) * 5, None))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(make_documents(rows)).collect()}
+    assert got[70_001] in ("en", "fr") and got[70_002] == "und"
+    one, other = (langid.features([chr(point) * 5])[0] for point in (0x30010, 0x30011))
+    assert abs(one - other).max() > 0.1
+
+
+def test_the_bounds_of_the_sample_are_parameters(make_documents):
+    rows = [r for r in corpus(12) if r[2] in ("en", "fr")]
+    assert langid.fit(make_documents(rows), max_languages=1).languages == ["en"]
+    small = langid.fit(make_documents(rows), per_language=8, total=16)
+    assert small.languages == ["en", "fr"]

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from vacantia.llm import simhash
+from vacantia.llm import components, simhash
 from vacantia.llm.components import connected_components
 
 from .conftest import EDGE_ROWS
@@ -107,3 +107,41 @@ def test_given_table_against_all_pairs(spark):
     ids = sorted(got)
     expected = smallest_reachable(ids, [got[i][0] & (2**64 - 1) for i in ids])
     assert {i: got[i][1] for i in ids} == expected
+
+
+def test_a_hub_is_split(spark, monkeypatch):
+    """Half of all links hang on one node: the join back to it must be cut."""
+    plans = []
+    stage = components.stage
+
+    def staged(table, name):
+        written = stage(table, name)
+        if name == "large":
+            table.collect()
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return written
+
+    monkeypatch.setattr(components, "stage", staged)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "64k",
+        "spark.sql.files.openCostInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        links = spark.range(1, 200_001).select(
+            F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") + 1_000_000).alias("a"),
+            F.col("id").alias("b"),
+        )
+        found = components.connected_components(links)
+        assert found.where("component_id = 0").count() == 100_000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "skew=true" in plans[0]

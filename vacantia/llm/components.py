@@ -19,10 +19,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     component_id is the smallest node of the component. Each round hangs a node's larger
     neighbours on its smallest one, then its smaller neighbours too, until nothing changes;
-    the rounds grow with the logarithm of the longest chain. A hub's rows are split by
-    adaptive execution: its minimum is combined on the map side, and the join back may be
-    cut. Each round is a written table, so a lost executor costs no earlier round. Null
-    ends are ignored.
+    the rounds grow with the logarithm of the longest chain. A hub's minimum is combined on the
+    map side and written, so that the join back has a plain shuffle on either side and adaptive
+    execution splits the hub's rows. Each round is a written table, so a lost executor costs no
+    earlier round. Null ends are ignored.
     """
     pairs = (
         links.where(F.col("a") != F.col("b"))
@@ -36,13 +36,14 @@ def connected_components(links: DataFrame) -> DataFrame:
             pairs.select(F.col("high").alias("node"), F.col("low").alias("other"))
         )
         least = both.groupBy("node").agg(F.min("other").alias("least"))
-        least = least.select("node", F.least("node", "least").alias("least"))
-        large = (
+        least = stage(least.select("node", F.least("node", "least").alias("least")), "least")
+        large = stage(
             pairs.join(least, pairs["low"] == least["node"])
             .select("high", F.col("least").alias("low"))
-            .distinct()
+            .distinct(),
+            "large",
         )
-        lowest = large.groupBy("high").agg(F.min("low").alias("least"))
+        lowest = stage(large.groupBy("high").agg(F.min("low").alias("least")), "lowest")
         small = large.join(lowest.withColumnRenamed("high", "node"), F.col("high") == F.col("node"))
         pairs = stage(
             small.select(F.explode(F.array(

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.chars import LETTER, CharTables, code_points
+from vacantia.llm.chars import CODE_POINTS, LETTER, CharTables, code_points
 from vacantia.llm.common import map_batches, strings
 from vacantia.llm.tokens import loaded
 
@@ -63,10 +63,16 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(DIMENSIONS, np.int64)
         overlap = np.empty(0, np.uint32)
         for at in range(0, len(text), CHARS_AT_ONCE):
-            points = code_points(text[at : at + CHARS_AT_ONCE])
+            part = text[at : at + CHARS_AT_ONCE]
+            points = code_points(part)
             letter = tables.kinds[points] == LETTER
+            lower = tables.lower[points]
+            for place in np.flatnonzero(points == CODE_POINTS - 1):
+                # The tables end here; rare letters beyond stand for themselves.
+                letter[place] = part[place].isalpha()
+                lower[place] = ord(part[place])
             lettered[i] |= letter.any()
-            symbols = np.where(letter, tables.lower[points], 32).astype(np.uint32)
+            symbols = np.where(letter, lower, 32).astype(np.uint32)
             again = np.concatenate([[False], (symbols[1:] == 32) & (symbols[:-1] == 32)])
             symbols = np.concatenate([overlap, symbols[~again]])
             for order in ORDERS:
@@ -160,23 +166,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT_FOLD, F.lit(False))
 
 
-def fit(documents: DataFrame) -> Hierarchy | None:
+def fit(
+    documents: DataFrame,
+    per_language: int | None = None,
+    total: int | None = None,
+    max_languages: int | None = None,
+) -> Hierarchy | None:
     """Learn from (text, lang) of documents that aren't held out and whose lang isn't null.
 
     The sample is bounded: per language about as many texts as the parameters say, those
     with the smallest hash of the text, found by a threshold from the language's exact count of
     different hashes, so copies don't thin a sample and no text is moved to choose it. Texts
-    without a letter teach nothing. Of more than MAX_LANGUAGES languages, those with the most
-    different texts are learnt, by name if equal. None if no document has a language.
+    without a letter teach nothing. Of more than `max_languages` languages, which bounds the
+    sample too, those with the most different texts are learnt, by name if equal. None if no
+    document has a language.
     """
     some = documents.where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
     distinct = some.select("lang", "h").distinct().groupBy("lang").count()
-    counted = distinct.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counted = distinct.orderBy(F.desc("count"), "lang").limit(max_languages or MAX_LANGUAGES).collect()
     if not counted:
         return None
-    size = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE_TOTAL // len(counted)))
+    size = max(
+        8, min(per_language or SAMPLE_PER_LANGUAGE, (total or SAMPLE_TOTAL) // len(counted))
+    )
     limits = {row["lang"]: int(min(1.0, size / row["count"]) * (1 << 40)) for row in counted}
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
 
@@ -199,15 +213,15 @@ def fit(documents: DataFrame) -> Hierarchy | None:
     return Hierarchy(rows.reshape(len(taken), -1).astype(np.float32), [l for l, _, _ in taken])
 
 
-def identify(documents: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score.
+def identify(documents: DataFrame, **sample: int) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred, score. `sample` goes to `fit`.
 
     The language is one of those learnt; `und` with score 0 if the text is null, has no
     letter, or nothing could be learnt. Rows without doc_id are not held out. Repeated rows
     are returned as often as they come. Only doc_id, text and lang are read, lang only to
     learn.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents))
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents, **sample))
 
     def make(batch: pa.RecordBatch) -> dict:
         names, scores = [], []

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.scratch import fresh_folder, stage
+from vacantia.sources.commit_log import qualified
 
 # --- fixed values: the archive format ---
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -82,6 +83,13 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
+def _as_spark_sees_it(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, unless it is on a local disk: without one it would be in the
+    cluster's store to Spark and on a disk of their own to tasks."""
+    path = qualified(spark, folder)
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of one archive in order: header fields and block."""
     files, name = _file_system(path)
@@ -130,13 +138,14 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     """page_id, digest, refers_to for the rows that become revisits, once each.
 
     Of rows whose payloads are equal and have `min_bytes` at least, the smallest page_id is
-    the response. Only digests and ids are shuffled; counts combine on the map side.
+    the response. Only digests and ids are shuffled; counts combine on the map side. Both sides
+    of the join are written tables, so that a digest with a large part of the pages is split.
     """
     keyed = pages.select("page_id", "digest", "payload_bytes").where(
         F.col("payload_bytes") >= min_bytes
     )
-    rows = keyed.groupBy("page_id", "digest").agg(F.count("*").alias("copies"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
+    rows = stage(keyed.groupBy("page_id", "digest").agg(F.count("*").alias("copies")), "digests")
+    first = stage(rows.groupBy("digest").agg(F.min("page_id").alias("refers_to")), "first-pages")
     return rows.join(first, "digest").where(
         F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     ).select("page_id", "digest", "refers_to")
@@ -174,6 +183,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     attempt, and the manifest lists those of tasks that ended well, so a lost executor leaves
     no record twice or half.
     """
+    folder = _as_spark_sees_it(pages.sparkSession, folder)
     payload = F.coalesce("html", F.lit(""))
     prepared = pages.select(
         "page_id", "url", payload.alias("payload"),
