@@ -2,15 +2,18 @@
 
 A byte-level vocabulary gives characters per token and the entropy of the tokens, a piece
 vocabulary gives characters per piece and the share of single-byte pieces. Words with a
-digit are left out of these measures: numbers and keys are no words of a language. A document is
-rejected if a measure leaves the band of its language; bands come from all documents of the
-language. Documents without a language are banded by their script.
+digit, which are numbers and keys and no words of a language, are left out of these and measured
+by themselves: their share of the words and of the characters. A document is rejected if a
+measure leaves the band of its language; bands come from all documents of the language. Documents
+without a language are banded by their script.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,24 @@ SYMBOLS = "#*$%&|<>"
 
 # Half-width of a band in spreads (half the distance of the quartiles) of its group. A mean
 # over n tokens scatters with 1 / sqrt(n), so a text of n tokens gets this much more.
-BAND_WIDTH = {"token_chars": 1.5, "piece_chars": 1.5, "entropy": 4.0, "byte_share": 1.5}
+BAND_WIDTH = {
+    "token_chars": 1.5, "piece_chars": 1.5, "entropy": 4.0, "byte_share": 1.5,
+    "digit_words": 2.0, "digit_chars": 2.0,
+}
 SHORT_TEXT_SLACK = 26.0
+# The shares of words with a digit scatter with the number of words: a few words may well be a
+# telephone number and a card.
+FEW_WORDS_SLACK = 60.0
 # The entropy is taken relative to that of so many different tokens at most: beyond, a text
 # says nothing new about its vocabulary by being longer.
 ENTROPY_TOKENS = 1024
 # Measures are rounded to this grid before their quartiles are taken, which bounds the
 # number of distinct values a language has.
 GRID = 1 / 256
-MIN_SPREAD = {"token_chars": 0.06, "piece_chars": 0.06, "entropy": 0.015, "byte_share": 0.02}
+MIN_SPREAD = {
+    "token_chars": 0.06, "piece_chars": 0.06, "entropy": 0.015, "byte_share": 0.02,
+    "digit_words": 0.03, "digit_chars": 0.03,
+}
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -90,8 +102,8 @@ def entropy(ids: np.ndarray) -> float:
 
 
 class Fertility:
-    """Per word: code points, whether it is measured, its pieces and single-byte pieces, and
-    the ids of the byte-level vocabulary."""
+    """Per word: code points, those the vocabularies measure, its pieces and single-byte pieces,
+    whether it has a digit, and the ids of the byte-level vocabulary."""
 
     def __init__(self, byte_path: str, piece_path: str):
         self.bytes, self.pieces = ByteLevelTokens(byte_path), PieceTokens(piece_path)
@@ -102,9 +114,10 @@ class Fertility:
         found = []
         for text, (pieces, fallback) in zip(texts, self.pieces.counts(texts)):
             if _DIGIT.search(text):
-                found.append(((len(text), 0, 0, 0), []))
+                found.append(((len(text), 0, 0, 0, 1), []))
             else:
-                found.append(((len(text), len(text), pieces, fallback), self.bytes.ids(" " + text)))
+                ids = self.bytes.ids(" " + text)
+                found.append(((len(text), len(text), pieces, fallback, 0), ids))
         return found
 
 
@@ -117,7 +130,7 @@ def script(text: str) -> str:
 def measures(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """doc_id, text_key, group, the base counts, and the vocabularies' measures."""
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
-    names = ("token_chars", "piece_chars", "byte_share", "entropy")
+    names = ("token_chars", "piece_chars", "byte_share", "entropy", "digit_words", "digit_chars")
 
     def make(batch: pa.RecordBatch) -> dict:
         table = loaded(Fertility, byte_path, piece_path).table
@@ -130,12 +143,12 @@ def measures(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame
             ids_at, word_ends = table.spread(at)
             ids = table.values[ids_at]
             id_ends = np.concatenate([[0], word_ends])
-            numbers = table.numbers[at] if len(at) else np.zeros((0, 4), np.int64)
-            sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers, axis=0)])
+            numbers = table.numbers[at] if len(at) else np.zeros((0, 5), np.int64)
+            sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(numbers, axis=0)])
             sums = (sums[ends] - sums[starts]).tolist()
             repeats = _may_repeat(at, text, len(own))
             for k, i in enumerate(own):
-                chars, measured, pieces, fallback = sums[k]
+                chars, measured, pieces, fallback, with_digit = sums[k]
                 tokens = ids[id_ends[starts[k]] : id_ends[ends[k]]]
                 values = (
                     langs[i] if langs[i] is not None else f"script:{script(texts[i])}",
@@ -143,6 +156,7 @@ def measures(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame
                     repeated_lines(texts[i]), repeated_words(words[starts[k] : ends[k]]) if repeats[k] else 0,
                     len(tokens), measured / max(1, len(tokens)), measured / max(1, pieces),
                     fallback / max(1, pieces), entropy(tokens),
+                    with_digit / max(1, int(ends[k] - starts[k])), (chars - measured) / max(1, chars),
                 )
                 for key, value in zip(made, values):
                     made[key].append(value)
@@ -179,7 +193,8 @@ def judge(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     base_failed: under ten words, or over a fifth of them in repeated windows. Otherwise a
     document is kept unless its characters per token or per piece or its entropy lie below
-    the band of its group, or its share of byte pieces above it. Null and empty texts have
+    the band of its group, or its share of byte pieces, of words with a digit or of characters
+    in these above it. Null and empty texts have
     no words and fail. Rows without doc_id are judged like others, repeated rows each. A
     column lang that is missing counts as null; other columns are not read.
     """
@@ -191,17 +206,25 @@ def judge(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     measured = stage(
         measures(documents, byte_path, piece_path).withColumn("base_failed", failed), "measures"
     )
-    slack = F.lit(SHORT_TEXT_SLACK) / F.sqrt(F.greatest("n_tokens", F.lit(1)))
+    tokens, words = F.greatest("n_tokens", F.lit(1)), F.greatest("n_words", F.lit(1))
 
     def reach(name: str) -> Column:
+        slack = F.lit(SHORT_TEXT_SLACK) / F.sqrt(tokens)
+        if name in ("digit_words", "digit_chars"):
+            slack = F.lit(FEW_WORDS_SLACK) / F.sqrt(words)
         return (F.lit(BAND_WIDTH[name]) + slack) * F.col(f"{name}_spread")
 
     low = [
         F.col(name) < F.col(f"{name}_middle") - reach(name)
         for name in ("token_chars", "piece_chars", "entropy")
     ]
-    high = F.col("byte_share") > F.col("byte_share_middle") + reach("byte_share")
-    outside = F.coalesce(low[0] | low[1] | low[2] | high, F.lit(False))
+    high = [
+        F.col(name) > F.col(f"{name}_middle") + reach(name)
+        for name in ("byte_share", "digit_words", "digit_chars")
+    ]
+    # Without a word that the vocabularies measure only the shares say something.
+    low = [(F.col("n_tokens") > 0) & below for below in low]
+    outside = F.coalesce(reduce(or_, [*low, *high]), F.lit(False))
     # A row per language or script: written, so that its size is known before the join.
     limits = stage(bands(measured), "bands")
     return (
@@ -210,6 +233,6 @@ def judge(documents: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         .select(
             "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
             "n_repeat_words", "base_failed", "kept", "token_chars", "piece_chars",
-            "byte_share", "entropy",
+            "byte_share", "entropy", "digit_words", "digit_chars",
         )
     )
