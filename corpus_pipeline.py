@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm import decontaminate, fertility, linededup, packing, simhash
-from vacantia.llm.common import filter_documents, table
+from vacantia.llm.common import filter_documents, free_name, table
 from vacantia.llm.queries import byte_vocabulary, piece_vocabulary
 from vacantia.scratch import stage
 from vacantia.shipping import ship
@@ -31,11 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Rows that repeat a doc_id are one
-    document; those without one can't be told apart and stay."""
+    document, with the smallest text of theirs; those without one can't be told apart and stay."""
     ship(spark)
     groups = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()))
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    place = free_name(docs, "place")
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
+    ranked = docs.join(first, "doc_id", "left_semi").withColumn(place, F.row_number().over(order))
+    kept = ranked.where(F.col(place) == 1).drop(place)
     return kept.unionAll(docs.where(F.col("doc_id").isNull()))
 
 
