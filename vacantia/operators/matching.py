@@ -1,8 +1,8 @@
 """Matching the words of listings against phrase vocabularies.
 
-Two ways with one result. A vocabulary whose measured size is small is broadcast, and each
-Arrow batch of texts is matched by vectorised set lookups: no row moves. A larger one is
-joined on the terms.
+Two ways with one result. A vocabulary whose measured size is small is sent to every machine as
+an index, in which each Arrow batch of texts is looked up: no row moves. A larger one is joined
+on the terms.
 """
 
 from __future__ import annotations
@@ -16,44 +16,36 @@ from pyspark.sql import functions as F
 from vacantia.functions.ngrams import drop_words_of_pairs, neighbour_pairs
 from vacantia.functions.text import spaced_lower
 from vacantia.operators.joins import salted_lookup
+from vacantia.operators.term_index import TermIndex, ship_index, shipped_index
 from vacantia.scratch import stage
 
 
-def _terms(vocabulary: DataFrame) -> pa.Array:
-    terms = vocabulary.select("term").toArrow().column(0).combine_chunks()
-    return terms.cast(pa.string())
-
-
 def _lists(values: pa.Array, rows: np.ndarray, size: int) -> pa.Array:
     """Values as lists per row; `rows` holds the ascending row of each value."""
     ends = np.cumsum(np.bincount(rows, minlength=size))
     return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), values)
 
 
-def _known(values: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    return pc.is_in(values, value_set=vocabulary).to_numpy(zero_copy_only=False)
-
-
-def match_texts(
-    texts: pa.Array, words: pa.Array, pairs: pa.Array, drop_low_order: bool = False
-) -> pa.Array:
+def match_texts(texts: pa.Array, index: TermIndex, drop_low_order: bool = False) -> pa.Array:
     """(unigrams, bigrams, kept) lists of a batch of single-spaced texts."""
     size = len(texts)
     pieces = pc.split_pattern(pc.fill_null(texts, ""), " ")
     rows = np.repeat(np.arange(size), np.diff(pieces.offsets.to_numpy()))
-    known = _known(pieces.flatten(), words)
-    unigrams, rows = pieces.flatten().filter(pa.array(known)), rows[known]
+    ids = index.ids(pieces.flatten())
+    known = ids >= 0
+    unigrams, rows, ids = pieces.flatten().filter(pa.array(known)), rows[known], ids[known]
     # Pair i joins unigram i and the next one, of the same text or not.
     neighbours = rows[:-1] == rows[1:]
-    joined = pc.binary_join_element_wise(unigrams[:-1], unigrams[1:], " ")
-    hits = neighbours & _known(joined, pairs)
+    hits = neighbours & index.know(ids[:-1], ids[1:])
     unigram_lists = _lists(unigrams, rows, size)
     if drop_low_order:
         left = neighbours & ~hits
         kept = _lists(unigrams[:-1].filter(pa.array(left)), rows[:-1][left], size)
     else:
         kept = unigram_lists
-    bigram_lists = _lists(joined.filter(pa.array(hits)), rows[:-1][hits], size)
+    first, second = (side.filter(pa.array(hits)) for side in (unigrams[:-1], unigrams[1:]))
+    joined = pc.binary_join_element_wise(first, second, " ")
+    bigram_lists = _lists(joined, rows[:-1][hits], size)
     return pa.StructArray.from_arrays(
         [unigram_lists, bigram_lists, kept], names=["unigrams", "bigrams", "kept"]
     )
@@ -66,12 +58,10 @@ def match_by_broadcast(
 
     For vocabularies that were measured to be small.
     """
-    context = listings.sparkSession.sparkContext
-    shared = context.broadcast((_terms(unigrams), _terms(bigrams)))
+    index = ship_index(listings.sparkSession, unigrams, bigrams)
 
     def match(texts: pa.Array) -> pa.Array:
-        known_words, known_pairs = shared.value
-        return match_texts(texts, known_words, known_pairs, drop_low_order)
+        return match_texts(texts, shipped_index(index), drop_low_order)
 
     matcher = F.arrow_udf(
         match, "unigrams array<string>, bigrams array<string>, kept array<string>"
