@@ -112,7 +112,7 @@ def test_empty_table(spark, make_documents):
 def test_queries_against_their_sql(spark, name):
     folder = "/root/testdata/sf0.01"
     connection = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "benchmark"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     expected = connection.sql(oracle.oracle_sql()[name])
     made = queries.queries()[name](spark, folder)

@@ -119,5 +119,62 @@ LEFT JOIN suffix_rate s ON s.suffix = ruled.suffix
 )
 
 
+RESAMPLING = """
+WITH RECURSIVE bits AS (
+    SELECT range AS i, range AS c, 0 AS k FROM range(256)
+    UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1
+    FROM bits WHERE k < 8
+), crc_table AS (
+    SELECT list(c ORDER BY i) AS entries FROM bits WHERE k = 8
+), texts AS (
+    SELECT false AS target, doc_id, text FROM documents
+    UNION ALL SELECT true, item_id, text FROM benchmark
+), worded AS (
+    SELECT target, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM texts
+), features AS MATERIALIZED (
+    SELECT target, doc_id, unnest(words || list_transform(range(1, len(words)),
+        lambda i: words[i] || ' ' || words[i + 1])) AS feature
+    FROM worded
+), buckets AS MATERIALIZED (
+    SELECT feature, xor(4294967295, list_reduce(
+        list_transform(range(len(hex(encode(feature))) // 2),
+            lambda i: CAST('0x' || substr(hex(encode(feature)), 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, entries[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket
+    FROM (SELECT DISTINCT feature FROM features), crc_table
+), counted AS (
+    SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t
+    FROM features JOIN buckets USING (feature) GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000)
+        / ((s + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+    FROM counted
+), weighed AS (
+    SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+    FROM features JOIN buckets USING (feature) JOIN gains USING (bucket)
+    WHERE NOT target GROUP BY doc_id
+), scored AS (
+    SELECT w.doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+           coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+               '7:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+    FROM worded w LEFT JOIN weighed USING (doc_id) WHERE NOT target
+), placed AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER () AS able
+    FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= 25 * able // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_dictionary": WARC, "op9_line_dedup": LINES, "op10_url_reputation": URLS}
+    return {
+        "op1_warc_dictionary": WARC, "op9_line_dedup": LINES, "op10_url_reputation": URLS,
+        "op11_crc_resampling": RESAMPLING,
+    }
