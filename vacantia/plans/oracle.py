@@ -287,6 +287,8 @@ ENTRIES: dict[str, str] = {
       as card from cards""",
     "page_cards": """select page_id, position, regexp_replace(card, '<[^>]*>', '', 'g') as card
       from cards""",
+    "nested_cards": """select page_id, position,
+      regexp_replace(card, '<[^>]*>', '', 'g') || 'pay place end' as card from cards""",
     "distinct_cards": "select distinct card from cards",
     "card_report": "select count(*) as cards, count(distinct card) as distinct_cards from cards",
     "scrape_coverage": """select *, round(scraped / total * 100, 3) as percent
@@ -304,6 +306,9 @@ ENTRIES: dict[str, str] = {
     "text_alnum": over_documents(f"regexp_replace(text, '[^a-zA-Z0-9{UNICODE_SPACE}]', '', 'g')"),
     "text_squeeze": over_documents(f"trim(regexp_replace(text, '[{UNICODE_SPACE}]+', ' ', 'g'))"),
     "standardize_text": of_raw(standard("raw"), "text"),
+    "standardize_some_steps": of_raw(
+        f"trim(regexp_replace(lower(raw), '[{UNICODE_SPACE}]+', ' ', 'g'))", "text"
+    ),
     "wage_info": "select doc_id, wage_info, wage_low, wage_high, text from standard_documents",
     "listing_code": of_raw(CODE, "code"),
     "publication_date": of_raw(PUB, "pub_date"),
@@ -349,6 +354,10 @@ ENTRIES: dict[str, str] = {
       from (select cast(unnest(generate_series(date '2024-11-01', date '2025-01-20',
               interval 1 day)) as date) as date) d
       left join (select pub_date as date, count(*) as n from listings group by 1) c using (date)""",
+    "calendar_of_last_days": """select d.date, coalesce(c.n, 0) as count, isodow(d.date) = 1 as marked
+      from (select cast(unnest(generate_series(current_date - 60, current_date, interval 1 day))
+        as date) as date) d
+      left join (select pub_date as date, count(*) as n from listings group by 1) c using (date)""",
     "run_last_date": f"""select source_file, {PUB} as last_date from raw_listings
       qualify row_number() over (partition by source_file order by line_no desc) = 1""",
     "temporal_scope": """select code, pub_date from listings
@@ -363,6 +372,11 @@ ENTRIES: dict[str, str] = {
       from (select coalesce(max(snapshot_date), date '2024-11-15') as last_processed
             from processed) p""",
     "wage_distribution": wage_distribution("listings"),
+    "wage_distribution_overall": f"""select {wage_category('raw')} as wage_category,
+      round(count(*) / (select count(*) from listings), 6) as proportion_overall,
+      {midwage(wage_category('raw'))} as midwage_overall,
+      cast(null as double) as proportion_segment, cast(null as double) as midwage_segment
+      from listings group by 1, 3""",
     "wage_missing_share": wage_missing_share("listings"),
     "wage_distribution_at_rate": wage_distribution(HALF_OF_LISTINGS),
     "wage_missing_share_at_rate": wage_missing_share(HALF_OF_LISTINGS),
@@ -459,6 +473,8 @@ ENTRIES: dict[str, str] = {
               (select avg(b) from two_features where not is_train)) e""",
     "commit_inference": "select * from stored",
     "effects_by_inference": "select * from stored where segment_keyword = 'logistica'",
+    "effects_by_keyword": """select * from stored
+      where keyword = (select min(keyword) from discovery)""",
     "cascade_delete": "select * from stored where inference_id <> 1",
     "stream_ingest": f"""select source_file, line_no, wage_info, text
       from ({standardised('valid')}) s""",
@@ -477,6 +493,7 @@ DATES: dict[str, tuple[str, ...]] = {
     "next_friday": ("pub_date", "friday"),
     "listings_per_date": ("date",),
     "calendar_counts": ("date",),
+    "calendar_of_last_days": ("date",),
     "run_last_date": ("last_date",),
     "temporal_scope": ("pub_date",),
     "capped_listings": ("pub_date",),

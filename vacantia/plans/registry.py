@@ -159,6 +159,19 @@ def page_cards(views: Views) -> DataFrame:
     return cards.page_cards(views.table("pages"), CARD_BLOCK)
 
 
+@query
+def nested_cards(views: Views) -> DataFrame:
+    """Cards as results pages have them, cut where their own `div` is closed."""
+    html = F.array_join(F.transform(
+        F.regexp_extract_all("html", F.lit(CARD_BLOCK), 1),
+        lambda block: F.concat(
+            F.lit(f'<div>before</div>{cards.CARD_START}<div class="title">'), block,
+            F.lit("</div><div><div>pay</div> place</div> end</div> between"),
+        ),
+    ), " ")
+    return cards.page_cards(views.table("pages").select("page_id", html.alias("html")))
+
+
 @query
 def distinct_cards(views: Views) -> DataFrame:
     return cards.distinct_cards(views.cards())
@@ -207,6 +220,12 @@ def standardize_text(views: Views) -> DataFrame:
     return _raw(views, text_functions.standardize(F.col("raw")).alias("text"))
 
 
+@query
+def standardize_some_steps(views: Views) -> DataFrame:
+    steps = (text_functions.lowercase, text_functions.squeeze_spaces)
+    return _raw(views, text_functions.standardize(F.col("raw"), steps).alias("text"))
+
+
 @query
 def wage_info(views: Views) -> DataFrame:
     return standardised(views.raw_documents()).select(
@@ -333,6 +352,12 @@ def calendar_counts(views: Views) -> DataFrame:
     return calendar.calendar_counts(calendar.listings_per_date(views.dated()), *CALENDAR)
 
 
+@query
+def calendar_of_last_days(views: Views) -> DataFrame:
+    """The days up to today that a calendar has unless it is told otherwise."""
+    return calendar.calendar_counts(calendar.listings_per_date(views.dated()))
+
+
 @query
 def run_last_date(views: Views) -> DataFrame:
     return calendar.run_last_date(
@@ -370,6 +395,15 @@ def wage_distribution(views: Views) -> DataFrame:
     return rounded(shares, "proportion_overall", "proportion_segment")
 
 
+@query
+def wage_distribution_overall(views: Views) -> DataFrame:
+    """Without a segment."""
+    facts = views.curated(
+        wage_category=wage_functions.wage_category(F.col("raw")), in_segment=F.lit(False)
+    )
+    return rounded(wages.wage_distribution(facts), "proportion_overall", "proportion_segment")
+
+
 @query
 def wage_missing_share(views: Views) -> DataFrame:
     return rounded(wages.wage_missing_share(views.wage_facts(SEGMENT)), "share")
@@ -770,6 +804,13 @@ def effects_by_inference(views: Views) -> DataFrame:
     return _stored_effects(views, _store_with_two(views), segment="logistica")
 
 
+@query
+def effects_by_keyword(views: Views) -> DataFrame:
+    """The effects of the first keyword in the discovery range, in every inference."""
+    first = effects.in_discovery_range(views.effects()).agg(F.min("keyword")).first()[0]
+    return _stored_effects(views, _store_with_two(views), keyword=first)
+
+
 @query
 def cascade_delete(views: Views) -> DataFrame:
     store = _store_with_two(views)
