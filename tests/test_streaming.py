@@ -1,7 +1,9 @@
 import gzip
+import os
 
 import pytest
 
+from vacantia import scratch
 from vacantia.operators.calendar import listings_per_date, with_publication_date
 from vacantia.operators.dedup import first_per_code, with_code
 from vacantia.plans.curate import standardised
@@ -122,3 +124,29 @@ def test_codes_of_any_length_have_a_block(spark):
     table = spark.createDataFrame([(c,) for c in codes], "code string")
     found = [r[0] for r in table.select(ingest.code_block(table["code"])).collect()]
     assert found == ["1-", "6-", "7-1", "10-0001", f"40-{'9' * 34}"]
+
+
+def test_batches_leave_no_intermediate_table(spark, paths):
+    before = set(os.listdir(scratch._own_folder(spark)))
+    for start in (ingest.stream_ingest, ingest.stream_dedup):
+        for name in ORDERS[0][:2]:
+            write(paths[0], name)
+        run(spark, start, (paths[0], f"{paths[1]}-{start.__name__}", f"{paths[2]}-{start.__name__}"))
+    assert set(os.listdir(scratch._own_folder(spark))) == before
+
+
+def test_scopes_nest_and_free_after_errors(spark):
+    def folders():
+        return set(os.listdir(scratch._own_folder(spark)))
+
+    before = folders()
+    outer = None
+    with pytest.raises(RuntimeError), scratch.scope(spark):
+        outer = scratch.stage(spark.range(3), "outer")
+        with scratch.scope(spark):
+            assert scratch.stage(spark.range(2), "inner").count() == 2
+        assert outer.count() == 3 and len(folders() - before) == 1
+        raise RuntimeError
+    assert folders() == before
+    kept = scratch.stage(spark.range(4), "kept")
+    assert kept.count() == 4 and len(folders() - before) == 1

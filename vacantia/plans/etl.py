@@ -31,7 +31,7 @@ from vacantia.operators.phrases import (
 from vacantia.operators.regression import fit_wage_regression, marginal_effects
 from vacantia.operators.splits import train_test_split
 from vacantia.operators.vectors import vectorize
-from vacantia.scratch import stage, stage_counting
+from vacantia.scratch import scope, stage, stage_counting
 from vacantia.sources.folds import persist_folds, read_folds, read_run_metadata
 from vacantia.sources.inference_store import commit_inference
 from vacantia.sources.phrase_documents import export_ordered
@@ -113,22 +113,23 @@ def build_training_samples(
     min_df: int = C.MIN_DOCUMENT_FREQUENCY,
 ) -> None:
     """Segment -> labelled phrase features -> vectors -> folds and metadata."""
-    segment_texts = texts.filter(contains_keyword(F.col("text"), segment))
-    samples, counts = stage_counting(
-        wages_and_features(segment_texts, unigrams, bigrams).select("code", "wage", "ngrams"),
-        "samples",
-        total=F.count("*"),
-        valid=F.count_if(F.coalesce(is_valid_sample(), F.lit(False))),
-    )
-    check_validity(counts["total"], counts["valid"])
-    labelled = labelled_samples(samples.filter(is_valid_sample()))
-    vectors, names = vectorize(labelled, min_df)
-    metadata = {
-        "feature_names": names,
-        "full_sample_size": counts["total"],
-        "segment_keyword": segment,
-    }
-    persist_folds(vectors.select("code", "wage", "log_wage", "features"), folder, metadata)
+    with scope(texts.sparkSession):
+        segment_texts = texts.filter(contains_keyword(F.col("text"), segment))
+        samples, counts = stage_counting(
+            wages_and_features(segment_texts, unigrams, bigrams).select("code", "wage", "ngrams"),
+            "samples",
+            total=F.count("*"),
+            valid=F.count_if(F.coalesce(is_valid_sample(), F.lit(False))),
+        )
+        check_validity(counts["total"], counts["valid"])
+        labelled = labelled_samples(samples.filter(is_valid_sample()))
+        vectors, names = vectorize(labelled, min_df)
+        metadata = {
+            "feature_names": names,
+            "full_sample_size": counts["total"],
+            "segment_keyword": segment,
+        }
+        persist_folds(vectors.select("code", "wage", "log_wage", "features"), folder, metadata)
 
 
 def split_folds(

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.dates import next_friday, publication_date
-from vacantia.functions.text import contains_keyword, listing_code
-from vacantia.functions.wage import wage_category
+from vacantia.functions.text import listing_code
 from vacantia.operators.calendar import with_publication_date
 from vacantia.operators.dedup import first_per_code, with_code
 from vacantia.operators.effects import term_wage_contrast
 from vacantia.operators.features import labelled_samples, wages_and_features
 from vacantia.operators.numbering import number_rows
 from vacantia.operators.regression import regression_errors
+from vacantia.operators.wages import wage_facts
 from vacantia.plans.curate import standardised
 from vacantia.plans.etl import Phrases, discover_phrases
 from vacantia.scratch import fresh_folder, stage
@@ -106,9 +106,8 @@ class Views:
     def dated(self) -> DataFrame:
         return self.curated(pub_date=publication_date(F.col("raw")))
 
-    def wage_facts(self, segment: str) -> DataFrame:
-        in_segment = contains_keyword(F.col("raw"), segment)
-        return self.curated(wage_category=wage_category(F.col("raw")), in_segment=in_segment)
+    def wage_facts(self, segment: str | None) -> DataFrame:
+        return first_per_code(wage_facts(with_code(self.raw_documents()), segment), FILE_ORDER)
 
     def first_listings(self) -> DataFrame:
         """(doc_id, code, source_file, line_no, raw), one listing per code. It is chosen by
@@ -167,7 +166,7 @@ class Views:
         weekly = (
             curated.withColumn("snapshot_date", day)
             .filter(F.col("snapshot_date").isNotNull())
-            .select(name.alias("source_file"), F.col("code").cast("bigint").alias("position"), "raw")
+            .select(name.alias("source_file"), F.col("code").try_cast("bigint").alias("position"), "raw")
         )
         return number_rows(weekly, "source_file", "position", "line_no").select(
             "source_file", "line_no", "raw"

@@ -398,10 +398,8 @@ def wage_distribution(views: Views) -> DataFrame:
 @query
 def wage_distribution_overall(views: Views) -> DataFrame:
     """Without a segment."""
-    facts = views.curated(
-        wage_category=wage_functions.wage_category(F.col("raw")), in_segment=F.lit(False)
-    )
-    return rounded(wages.wage_distribution(facts), "proportion_overall", "proportion_segment")
+    shares = wages.wage_distribution(views.wage_facts(None))
+    return rounded(shares, "proportion_overall", "proportion_segment")
 
 
 @query

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
 _deleted_at_exit: set[str] = set()
+_open_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,6 +54,8 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     and each later scan reads only the columns it uses.
     """
     path = fresh_folder(table.sparkSession, name)
+    for paths in getattr(_open_scopes, "stack", [])[-1:]:
+        paths.append(path)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
@@ -60,3 +66,18 @@ def stage_counting(table: DataFrame, name: str, **counts: Column) -> tuple[DataF
     observed = table.observe(observation, *[value.alias(key) for key, value in counts.items()])
     staged = stage(observed, name)
     return staged, observation.get
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stages inside are deleted at the end, for jobs whose results are
+    written by then. Others stay until the application ends."""
+    stack = _open_scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for folder in stack.pop():
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

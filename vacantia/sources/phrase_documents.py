@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.scratch import stage_counting
+from vacantia.scratch import scope, stage_counting
 from vacantia.schemas import PHRASE_DOCUMENT
 
 # Sections of an ordered document, named so that they sort in its order.
@@ -46,25 +46,26 @@ def export_ordered(
     no task and no row holds them all.
     """
     spark = unigrams.sparkSession
-    words, n_words = _ordered_terms(unigrams, UNIGRAMS)
-    pairs, n_pairs = _ordered_terms(bigrams, BIGRAMS)
-    sizes = {"significant_unigram_size": n_words, "significant_bigram_size": n_pairs}
-    stamp = (timestamp or dt.datetime.now()).isoformat()
-    about = {"parameters": parameters, "artifact_sizes": sizes, "timestamp": stamp}
-    frame = [
-        (HEAD, None, json.dumps(about)[:-1] + ', "unigrams": ['),
-        (BETWEEN, None, '], "bigrams": ['),
-        (TAIL, None, "]}"),
-    ]
-    (
-        words.unionByName(pairs)
-        .unionByName(spark.createDataFrame(frame, "section string, term string, line string"))
-        .repartitionByRange("section", "term")
-        .sortWithinPartitions("section", "term")
-        .select("section", "line")
-        .write.partitionBy("section")
-        .text(path)
-    )
+    with scope(spark):
+        words, n_words = _ordered_terms(unigrams, UNIGRAMS)
+        pairs, n_pairs = _ordered_terms(bigrams, BIGRAMS)
+        sizes = {"significant_unigram_size": n_words, "significant_bigram_size": n_pairs}
+        stamp = (timestamp or dt.datetime.now()).isoformat()
+        about = {"parameters": parameters, "artifact_sizes": sizes, "timestamp": stamp}
+        frame = [
+            (HEAD, None, json.dumps(about)[:-1] + ', "unigrams": ['),
+            (BETWEEN, None, '], "bigrams": ['),
+            (TAIL, None, "]}"),
+        ]
+        (
+            words.unionByName(pairs)
+            .unionByName(spark.createDataFrame(frame, "section string, term string, line string"))
+            .repartitionByRange("section", "term")
+            .sortWithinPartitions("section", "term")
+            .select("section", "line")
+            .write.partitionBy("section")
+            .text(path)
+        )
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vacantia.operators.calendar import with_publication_date
 from vacantia.operators.dedup import fetch, first_per_code, positions
 from vacantia.plans.curate import standardised
-from vacantia.scratch import stage
+from vacantia.scratch import scope, stage
 from vacantia.schemas import RAW_LISTINGS
 from vacantia.sources.snapshot_format import stream_snapshot_files
 from vacantia.sources.snapshots import (
@@ -45,7 +45,8 @@ def ingest_batch(lines: DataFrame, batch_id: int, folder: str) -> None:
     are read once for numbering, gate and lines. The folder is the batch's own and is overwritten: a batch that is run
     again after a failure adds nothing twice.
     """
-    standardised(_gated(lines)).write.mode("overwrite").parquet(_batch_folder(folder, batch_id))
+    with scope(lines.sparkSession):
+        standardised(_gated(lines)).write.mode("overwrite").parquet(_batch_folder(folder, batch_id))
 
 
 def stream_ingest(
@@ -158,7 +159,8 @@ def stream_dedup(
     empty.write.mode("ignore").partitionBy("batch_id", "block").parquet(target)
 
     def store(lines: DataFrame, batch_id: int) -> None:
-        dedup_batch(lines, batch_id, target, block_digits)
+        with scope(spark):
+            dedup_batch(lines, batch_id, target, block_digits)
 
     return (
         stream_snapshots(spark, source, **layout)
