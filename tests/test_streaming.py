@@ -150,3 +150,12 @@ def test_scopes_nest_and_free_after_errors(spark):
     assert folders() == before
     kept = scratch.stage(spark.range(4), "kept")
     assert kept.count() == 4 and len(folders() - before) == 1
+
+
+def test_a_batch_without_a_valid_file_stores_nothing(spark, paths):
+    (paths[0] / "vacancies_2024-12-06.txt.gz").write_bytes(gzip.compress(b"1 no date\n" * 20))
+    run(spark, ingest.stream_dedup, paths)
+    assert spark.read.schema(ingest.STORED).parquet(paths[1]).count() == 0
+    write(paths[0], "vacancies_2024-12-13.txt.gz")
+    run(spark, ingest.stream_dedup, paths)
+    assert ingest.curated(spark, paths[1]).count() == 25
