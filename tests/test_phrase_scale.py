@@ -1,10 +1,12 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import phrases
+from vacantia.operators import matching, phrases
+from vacantia.operators.term_index import TermIndex
 from vacantia.operators.word_filter import PART_BITS, WordFilter, filter_bits
 from vacantia.plans import etl
 from vacantia.sources import phrase_documents
@@ -113,3 +115,30 @@ def test_a_million_terms_from_many_tasks(spark, tmp_path):
     assert len(document["unigrams"]) == 1_000_000 and document["unigrams"] == sorted(document["unigrams"])
     back, _ = phrase_documents.import_ordered(spark, str(path))
     assert back.join(words, "term", "left_semi").distinct().count() == 1_000_000
+
+
+# --- vocabularies too large to broadcast ---
+
+
+def test_a_block_asks_once_for_each_pair_that_may_be_known(spark):
+    pairs = spark.createDataFrame([("a b",), ("b a",), ("b c",), (None,), ("one",)], "term string")
+    index = TermIndex.of(["a", "b", "c"], [])
+    texts = pa.array(["a x b a b", "b a", None, "a b c", "c c"])
+    asked = matching.asked_pairs(texts, pa.array([7, 7, 7, 9, 9]), index, matching._pair_filter(pairs))
+    rows = [tuple(r.values()) for r in asked.to_pylist()]
+    assert sorted(rows) == [(7, "a b"), (7, "b a"), (9, "a b"), (9, "b c")]
+    words = [tuple(r.values()) for r in matching.asked_words(texts, pa.array([7, 7, 7, 9, 9])).to_pylist()]
+    assert sorted(words) == [(7, ""), *((7, w) for w in "abx"), *((9, w) for w in "abc")]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_neither_words_nor_vocabularies_are_multiplied(texts, small):
+    """A large vocabulary meets each text's words without a row per word or a copy per salt."""
+    words = phrases.unigram_counts(texts).filter("n >= 15")
+    pairs = etl.lifts_of(texts).filter("lift > 0.02")
+    found = matching.match_by_joins(texts, words, pairs, False, small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "explode(split" not in plan
+    small_way = matching.match_by_broadcast(texts, words, pairs, False)
+    row = lambda r: (str(r.text), r.unigrams, r.bigrams, r.kept)
+    assert sorted(map(row, found.collect())) == sorted(map(row, small_way.collect()))
