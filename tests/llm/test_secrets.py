@@ -236,3 +236,31 @@ def test_shapes_hold_words_of_the_text_and_nothing_at_random():
     draw = random.Random(1)
     assert re.fullmatch(r"[1-9]0{11}", secrets.shaped(["river"], "D00000000000", draw))
     assert secrets.shaped(["river"], "wC/W", draw) == "riverRiver/RIVER"
+
+
+def test_more_findings_than_the_start_all_count(spark, monkeypatch):
+    """Every different finding is trained on, whatever the layout of the table."""
+    monkeypatch.setattr(secrets, "START", {"secret": 60, "word": 150})
+    monkeypatch.setattr(secrets, "PART", 1200)
+    draw = random.Random(9)
+    rows = []
+    for i in range(900):
+        for label, size in (("secret", draw.randrange(20, 40)), ("word", 0)):
+            middle = key(draw, size) if size else draw.choice(["beginning", "wonderful", "green-hills"])
+            text = text_of(draw, f"|{middle}|")
+            rows.append((label, bytearray(secrets.surroundings(text, text.index("|") + 1, text.rindex("|")))))
+    findings = spark.createDataFrame(rows, "label string, symbols binary").repartition(5)
+    shown = []
+    inner = secrets._train_round
+    monkeypatch.setattr(secrets, "_train_round", lambda table, *rest: shown.append(table.count()) or inner(table, *rest))
+    network = secrets.fit(findings)
+    assert shown == [findings.distinct().count()] * secrets.ROUNDS
+    again = secrets.fit(findings.repartition(2))
+    assert np.allclose(network.kernel, again.kernel) and abs(network.threshold - again.threshold) < 1e-6
+    fresh = [secrets.surroundings(t, t.index("|") + 1, t.rindex("|")) for t in (text_of(draw, f"|{key(draw)}|") for _ in range(200))]
+    words = [secrets.surroundings(t, 9, 18) for t in (text_of(draw, "green") for _ in range(200))]
+    assert (network.probabilities(fresh) >= network.threshold).mean() >= 0.95
+    assert (network.probabilities(words) >= network.threshold).mean() <= 0.05
+    # The threshold keeps its share of all secrets held out, not of those of the start.
+    held = [bytes(s) for label, s in set((a, bytes(b)) for a, b in rows) if label == "secret" and secrets._is_held_out(bytes(s))]
+    assert (network.probabilities(held) >= network.threshold).mean() >= 0.9
