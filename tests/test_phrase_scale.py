@@ -5,10 +5,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import matching, phrases
+from vacantia.operators import features, matching, phrases
 from vacantia.operators.term_index import TermIndex
 from vacantia.operators.word_filter import PART_BITS, WordFilter, filter_bits
-from vacantia.plans import etl
+from vacantia.plans import etl, fixtures
 from vacantia.sources import phrase_documents
 
 
@@ -142,3 +142,26 @@ def test_neither_words_nor_vocabularies_are_multiplied(texts, small):
     small_way = matching.match_by_broadcast(texts, words, pairs, False)
     row = lambda r: (str(r.text), r.unigrams, r.bigrams, r.kept)
     assert sorted(map(row, found.collect())) == sorted(map(row, small_way.collect()))
+
+
+def test_only_listings_with_a_wage_are_matched_for_samples(spark, tmp_path, monkeypatch):
+    """Blocks let no filter pass, so the listings without a label have to go before."""
+    rng = random.Random(3)
+    words = [f"w{a}{b}" for a in "abcde" for b in "abcde"]
+    rows = [(i, f"src{i % 3}", " ".join(rng.choices(words, k=30))) for i in range(1, 400)]
+    rows.append((400, "src0", None))
+    documents = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    matched = []
+
+    def by_blocks(listings, unigrams, bigrams):
+        matched.append(listings)
+        return features.wages_and_features(listings, unigrams, bigrams, broadcast_bytes=0)
+
+    monkeypatch.setattr(fixtures, "wages_and_features", by_blocks)
+    views = fixtures.Views(spark, str(tmp_path))
+    row = lambda r: (r.code, r.wage, r.ngrams)
+    samples = sorted(map(row, views.samples.collect()))
+    assert 0 < matched[0].count() == len(samples) < views.texts.count()
+    every = features.labelled_samples(views.features())
+    assert samples == sorted(map(row, every.collect()))
