@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -131,6 +132,41 @@ def test_a_block_asks_once_for_each_pair_that_may_be_known(spark):
     assert sorted(words) == [(7, ""), *((7, w) for w in "abx"), *((9, w) for w in "abc")]
 
 
+def test_a_block_asks_by_number_where_all_tasks_have_the_index(spark):
+    pairs = spark.createDataFrame([("a b",), ("b a",), ("b c",), (None,), ("one",), ("a x",)], "term string")
+    index = TermIndex.of(["a", "b", "c"], [])
+    numbers = index.numbers_of_pairs(pa.array(["a b", None, "one", "b c", "a x", "a b c", ""]))
+    assert (numbers < 0).tolist() == [False, True, True, False, True, True, True]
+    known = spark.createDataFrame([(int(n),) for n in index.numbers_of_pairs(
+        pa.array(["a b", "b a", "b c"]))], "_pair long")
+    texts = pa.array(["a x b a b", "b a", None, "a b c", "c c"])
+    asked = matching.asked_numbers(texts, pa.array([7, 7, 7, 9, 9]), index, matching._number_filter(known))
+    of = dict(zip(index.numbers_of_pairs(pa.array(["a b", "b a", "b c"])).tolist(), ["a b", "b a", "b c"]))
+    rows = [(block, of[pair]) for block, pair in (r.values() for r in asked.to_pylist())]
+    assert sorted(rows) == [(7, "a b"), (7, "b a"), (9, "a b"), (9, "b c")]
+    nothing = matching.asked_numbers(
+        pa.array([None, "x"]), pa.array([1, 1]), index, matching._number_filter(known)
+    )
+    assert nothing.num_rows == 0 and pairs.count() == 6
+
+
+def test_pairs_are_counted_in_a_batch_before_they_move(texts):
+    frequent = phrases.unigram_counts(texts).filter("n >= 15")
+    known = {r.term for r in frequent.collect()}
+    rows = [r.text for r in texts.collect()]
+    index = TermIndex.of(sorted(known), [])
+    counted = phrases.counted_pairs(pa.array(rows, pa.string()), index)
+    words = [text.split(" ") for text in rows if text]
+    expected = Counter(p for ws in words for p in zip(ws, ws[1:]) if known.issuperset(p))
+    name = [term.decode() for term in index.terms.tolist()]
+    low = (1 << phrases.PAIR_BITS) - 1
+    found = {(name[p >> phrases.PAIR_BITS], name[p & low]): n for p, n in zip(*counted.to_pydict().values())}
+    assert found == expected and len(found) > 100
+    lifts = phrases.frequent_pair_lift(texts, frequent, etl.document_count(texts))
+    plan = lifts._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_neither_words_nor_vocabularies_are_multiplied(texts, small):
     """A large vocabulary meets each text's words without a row per word or a copy per salt."""
