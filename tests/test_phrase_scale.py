@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import features, matching, phrases
+from vacantia.operators import features, matching, phrases, vectors
 from vacantia.operators.term_index import TermIndex
 from vacantia.operators.word_filter import PART_BITS, WordFilter, filter_bits
 from vacantia.plans import etl, fixtures
@@ -167,6 +167,14 @@ def test_pairs_are_counted_in_a_batch_before_they_move(texts):
     assert "MapInArrow" in plan and "Generate" not in plan
 
 
+def test_features_are_counted_in_a_batch_before_they_move(spark):
+    rows = [(["a", "a", "b"],), (["b", None, None],), ([],), (None,), (["a"],)]
+    samples = spark.createDataFrame(rows, "ngrams array<string>").repartition(2)
+    found = vectors.vocabulary(samples, min_df=1)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("a", 2, 3), (None, 1, 2), ("b", 2, 2)]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_neither_words_nor_vocabularies_are_multiplied(texts, small):
     """A large vocabulary meets each text's words without a row per word or a copy per salt."""
