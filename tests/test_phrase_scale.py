@@ -2,11 +2,12 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import features, matching, phrases, vectors
+from vacantia.operators import features, matching, phrases, term_index, vectors
 from vacantia.operators.term_index import TermIndex
 from vacantia.operators.word_filter import PART_BITS, WordFilter, filter_bits
 from vacantia.plans import etl, fixtures
@@ -209,3 +210,52 @@ def test_only_listings_with_a_wage_are_matched_for_samples(spark, tmp_path, monk
     assert 0 < matched[0].count() == len(samples) < views.texts.count()
     every = features.labelled_samples(views.features())
     assert samples == sorted(map(row, every.collect()))
+
+
+# --- more pairs than are broadcast ---
+
+
+def test_many_pairs_are_files_that_tasks_write(spark, monkeypatch):
+    monkeypatch.setattr(term_index, "FILE_PAIRS", 100)
+    rng = random.Random(8)
+    known = sorted(rng.sample(range(10**9), 1000))
+    numbers = spark.createDataFrame([(n,) for n in known], "_pair long").repartition(3)
+    files = term_index.ship_pairs(numbers, 1000)
+    assert len(files) > 5
+    parts = term_index.shipped_index(term_index.ship_index(spark, spark.range(0).select(F.lit("a").alias("term"))), files).pairs
+    assert all(isinstance(part, np.memmap) for part in parts)
+    assert np.concatenate(parts).tolist() == known
+    asked = np.array([*rng.sample(known, 300), *(n + 1 for n in known), -1, 0, 2 * 10**9])
+    assert term_index._held(parts, asked).tolist() == [n in set(known) for n in asked.tolist()]
+    assert term_index.ship_pairs(numbers.limit(0), 0) == ()
+
+
+@pytest.mark.parametrize("low_order", [False, True])
+def test_no_text_moves_for_many_pairs(texts, monkeypatch, low_order):
+    """Beyond the broadcast pairs are looked up where the texts are, up to a bound."""
+    monkeypatch.setattr(term_index, "FILE_PAIRS", 50)
+    words = phrases.unigram_counts(texts).filter("n >= 15")
+    pairs = etl.lifts_of(texts).filter("lift > 0.02")
+    monkeypatch.setattr(features, "is_small", lambda table, *_: table is not pairs)
+    options = {"token_pattern": None, "drop_low_order_ngrams": low_order}
+    found = features.phrase_features(texts, words, pairs, **options)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+    row = lambda r: (str(r.text), r.unigrams, r.bigrams, r.ngrams)
+    by_blocks = features.phrase_features(texts, words, pairs, most_pairs=0, **options)
+    assert "CoGroup" in by_blocks._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(row, found.collect()))
+    assert rows == sorted(map(row, by_blocks.collect())) and any(r[2] for r in rows)
+
+
+def test_counts_and_words_of_pairs_come_from_the_index(texts, spark):
+    """No table of words is broadcast to every executor for the lift."""
+    listings = texts.unionByName(spark.createDataFrame([(f"{'é' * 40} waaa",)] * 20, "text string"))
+    counts = phrases.unigram_counts(listings)
+    frequent = counts.filter("n >= 15")
+    lifts = phrases.frequent_pair_lift(listings, frequent, etl.document_count(listings))
+    assert "Join" not in lifts._jdf.queryExecution().optimizedPlan().toString()
+    exact = etl.lifts_of(listings).filter("lift > -1")
+    row = lambda r: (r.term, r.n, r.lift)
+    assert sorted(map(row, lifts.collect())) == sorted(map(row, exact.collect()))
+    assert lifts.filter(F.length("term") > 40).count() == 1
