@@ -234,6 +234,7 @@ def test_many_pairs_are_files_that_tasks_write(spark, monkeypatch):
 def test_no_text_moves_for_many_pairs(texts, monkeypatch, low_order):
     """Beyond the broadcast pairs are looked up where the texts are, up to a bound."""
     monkeypatch.setattr(term_index, "FILE_PAIRS", 50)
+    monkeypatch.setattr(matching, "MATCHED_ROWS", 7)
     words = phrases.unigram_counts(texts).filter("n >= 15")
     pairs = etl.lifts_of(texts).filter("lift > 0.02")
     monkeypatch.setattr(features, "is_small", lambda table, *_: table is not pairs)
@@ -259,3 +260,20 @@ def test_counts_and_words_of_pairs_come_from_the_index(texts, spark):
     row = lambda r: (r.term, r.n, r.lift)
     assert sorted(map(row, lifts.collect())) == sorted(map(row, exact.collect()))
     assert lifts.filter(F.length("term") > 40).count() == 1
+
+
+def test_a_batch_is_matched_a_few_texts_at_a_time(spark, monkeypatch):
+    """A batch of 10,000 long texts took a worker's memory when all its words were there at once."""
+    most = spark.sparkContext.broadcast(matching.MATCHED_ROWS)
+    whole = matching.match_texts
+
+    def limited(texts, *options):
+        if len(texts) > most.value:
+            raise MemoryError(f"{len(texts)} texts at once")
+        return whole(texts, *options)
+
+    monkeypatch.setattr(matching, "match_texts", limited)
+    texts = spark.range(0, 5000, 1, 1).select(F.concat(F.lit("a b c"), F.col("id")).alias("text"))
+    words, pairs = (spark.createDataFrame([(t,)], "term string") for t in ("a", "a b"))
+    found = matching.match_by_broadcast(texts, words, pairs, False)
+    assert found.filter("unigrams = array('a') and size(bigrams) = 0").count() == 5000
