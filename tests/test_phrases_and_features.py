@@ -1,12 +1,15 @@
 import json
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests import rules
-from vacantia.operators import features, joins, phrases, vectors
+from vacantia.operators import features, joins, matching, phrases, vectors
 from vacantia.operators.joins import salted_lookup
+from vacantia.operators.term_index import TermIndex
 from vacantia.plans import etl
 from vacantia.plans.registry import queries
 from vacantia.sources import phrase_documents
@@ -196,3 +199,39 @@ def test_no_feature_is_left_out_silently(spark):
     assert vectors.vocabulary(rows, 1).count() == 3
     with pytest.raises(ValueError, match="3 features"):
         vectors.vectorize(rows, 1, max_features=2)
+
+
+def test_features_are_taken_however_many_there_are(spark):
+    many = 270_000
+    rows = spark.range(many).select(F.array(F.concat(F.lit("t"), "id")).alias("ngrams"))
+    vectorised, names = vectors.vectorize(rows, 1)
+    assert len(names) == many and names[:2] == ["t0", "t1"]
+    held = vectorised.select(vectors.present_features().alias("p"))
+    assert held.agg(F.count_distinct("p")).first()[0] == many
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 19])
+def test_features_are_counted_a_few_at_a_time(monkeypatch, most):
+    monkeypatch.setattr(vectors, "COUNTED_FEATURES", most)
+    docs = [["b", "a", "a"], [], None, ["a", "b"], ["c", "b", "d"], ["c", "d"]]
+    batch = pa.RecordBatch.from_pydict({"ngrams": pa.array(docs, pa.list_(pa.string()))})
+    found, most_terms = Counter(), 0
+    for part in vectors._term_counts([batch]):
+        most_terms = max(most_terms, sum(part["w"].to_pylist()))
+        for term, d, w in zip(*(part[name].to_pylist() for name in ("term", "d", "w"))):
+            found[term, "d"] += d
+            found[term, "w"] += w
+    assert found == {
+        ("a", "d"): 2, ("a", "w"): 3, ("b", "d"): 3, ("b", "w"): 3,
+        ("c", "d"): 2, ("c", "w"): 2, ("d", "d"): 2, ("d", "w"): 2,
+    }
+    # One sample, which may have more, or as many as were asked for.
+    assert most_terms <= max(most, 3)
+
+
+def test_matched_texts_leave_a_worker_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(matching, "MATCHED_ROWS", 2)
+    texts = [pa.array(["x y", "y x", "x", "y", "x y x"]), pa.array([], pa.string())]
+    parts = list(matching.match_batches(iter(texts), TermIndex.of(["x", "y"], ["x y"]), False))
+    assert [len(p) for p in parts] == [2, 2, 1]
+    assert [found for p in parts for found in p.field("bigrams").to_pylist()] == [["x y"], [], [], [], ["x y"]]
